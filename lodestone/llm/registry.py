@@ -20,6 +20,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_query(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from lodestone.llm import htmltext
+
+    return htmltext.extraction_query(_table(spark, sf_dir, "pages"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdict of every document."""
+    from lodestone.llm import quality
+
+    return quality.quality_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    from lodestone.llm import urlfilter
+
+    return urlfilter.url_query(_table(spark, sf_dir, "pages"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     from lodestone.llm import langid
@@ -27,6 +48,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents."""
+    from lodestone.llm import mixing
+
+    return mixing.mixing_query(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     from lodestone.llm import toxicity
@@ -38,11 +66,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         "op2_bpe": op2_bpe,
+        "op3_html": op3_html,
+        "op4_quality": op4_quality,
+        "op5_urls": op5_urls,
         "op6_language": op6_language,
+        "op8_mixing": op8_mixing,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express on whole tables."""
-    return {}
+    from lodestone.llm import mixing, quality, urlfilter
+
+    return {"op4_quality": quality.quality_sql(), "op5_urls": urlfilter.url_sql(), "op8_mixing": mixing.mixing_sql()}
