@@ -46,7 +46,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = F.when(F.size("__w") >= 3, F.transform(F.slice("__w", 1, F.size("__w") - 2), lambda x, i: F.xxhash64(x, F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     cut = cut.select("*", windows.alias("__h"))
     # only texts in which a window recurs need its places: equal windows stand side by side once sorted
-    sorted_h = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    sorted_h = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     cut = cut.withColumn("__s", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), sorted_h))
     same = lambda s, i, d: F.coalesce(F.get("__s", i + d)["h"] == s["h"], F.lit(False))
     hits = F.filter("__s", lambda s, i: same(s, i, -1) | same(s, i, 1))
