@@ -60,7 +60,7 @@ def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 150, strength: float = 1e-4) -> Classifier:
+def train(texts: list[str], labels: list[int], rounds: int = 150, strength: float = 1e-5) -> Classifier:
     """Fit ratios and weights; the rows are put in a fixed order first."""
     order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
     y = np.array([labels[i] for i in order], np.float64)
@@ -68,18 +68,22 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, strength: floa
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
         return Classifier(float(np.log(prior / (1 - prior))), weight)
-    row, code = features(*raw(pa.array([texts[i] for i in order], pa.large_string())))
-    toxic = np.bincount(code, y[row], 1 << BITS)
-    other = np.bincount(code, 1 - y[row], 1 << BITS)
+    data, offsets = raw(pa.array([texts[i] for i in order], pa.large_string()))
+    toxic, other = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for i, j in pieces(offsets, 1 << 19):  # counts first, so that only kept features are ever listed
+        row, code = features(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+        toxic += np.bincount(code, y[i + row], 1 << BITS)
+        other += np.bincount(code, 1 - y[i + row], 1 << BITS)
     ratio = np.log((toxic + 1) / (toxic.sum() + FEATURES)) - np.log((other + 1) / (other.sum() + FEATURES))
     ratio -= np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) - np.log((toxic.sum() + FEATURES) / (other.sum() + FEATURES))
     seen = toxic + other >= LEAST_DOCS
     keep = np.flatnonzero(seen)
     keep = keep[np.argsort(-np.abs(ratio[keep]) * np.sqrt(toxic + other)[keep], kind="stable")[:FEATURES]]
-    number = np.full(1 << BITS, -1)
-    number[keep] = np.arange(len(keep))
-    used = number[code] >= 0
-    row, col = row[used], number[code[used]]
+    number, wanted = np.full(1 << BITS, -1), np.zeros(1 << BITS, bool)
+    number[keep], wanted[keep] = np.arange(len(keep)), True
+    found = [(i + row, code) for i, j in pieces(offsets, 1 << 20) for row, code in [features(data[offsets[i] : offsets[j]], offsets[i : j + 1], wanted)]]
+    row = np.concatenate([r for r, _ in found])
+    col = number[np.concatenate([c for _, c in found])]
     value = ratio[keep][col]
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
