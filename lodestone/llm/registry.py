@@ -11,6 +11,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from lodestone.llm import jaccardjoin
+
+    return jaccardjoin.join_query(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE round trip of every document."""
     import public_tokenizers
@@ -72,6 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_bpe": op2_bpe,
         "op3_html": op3_html,
         "op4_quality": op4_quality,
