@@ -55,6 +55,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_query(_table(spark, sf_dir, "documents"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    from lodestone.llm import collision
+
+    return collision.nearest_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents."""
     from lodestone.llm import mixing
@@ -85,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_urls": op5_urls,
         "op6_language": op6_language,
+        "op7_nearest": op7_nearest,
         "op8_mixing": op8_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_toxicity": op10_toxicity,
