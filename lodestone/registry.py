@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.plans import catalogue
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for each language and source."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang", "source").count()
+    """The best documents of each benchmark passage by BM25."""
+    return catalogue.bm25_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {}
+    return dict(catalogue.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(catalogue.SQL)
