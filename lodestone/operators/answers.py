@@ -111,7 +111,7 @@ def finish(drafts: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
         .when(F.col("text").isNull(), "generation failed")
         .when(is_insufficient(F.col("text")), "insufficient context")
         .when(strip_sentinel(F.col("text")) == "", "nothing left")
-        .when(F.coalesce("audit_failed", F.lit(False)), "audit failed")
+        .when((F.col("audit_failed") if "audit_failed" in drafts.columns else F.lit(False)), "audit failed")
         .when(low, "not grounded")
     )
     out = drafts.withColumn("refusal_reason", reason).withColumn("answered", reason.isNull())
