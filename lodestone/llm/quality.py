@@ -118,8 +118,9 @@ def cutoffs(counts: DataFrame, labels: DataFrame, stratum: str, risk: float = RI
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """docs without the text, with the base counts, base_failed and kept."""
-    names = [c for c in docs.columns if c != text]
+    """docs without the text, with the base counts, base_failed and kept; columns of those names are replaced."""
+    made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "kept")
+    names = [c for c in docs.columns if c != text and c not in made]
     counts = written(base_counts(docs.select(*names, text).withColumn("__stratum", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit(""))), text), "quality")
     table = written(cutoffs(counts, labels, "__stratum", risk, delta).withColumnRenamed("stratum", "__stratum"), "cutoffs")
     over = F.lit(False)
