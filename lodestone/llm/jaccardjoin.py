@@ -2,17 +2,19 @@
 
 Jaccard distance is a metric, but almost all pairs of unrelated documents are at distance 1, where a
 document as pivot says nothing. So the outermost pivots are single n-grams: a document is nearest to the
-n-grams that it holds, and two documents within the radius share one of the first n - ceil(t n) + 1 of
-their n-grams in any common order (here: frequent ones last, else by hash). Each such n-gram is a region
-of the documents that hold it there, cut where sizes differ too much; overlapping regions are united.
+n-grams that it holds, and two documents within the radius share at least l of the first n - ceil(t n) + l
+of their n-grams in any common order (here: frequent ones last, else by hash; l is SHARED of n). Each such
+n-gram is a region of the documents that hold it there, cut where sizes differ too much. Documents with
+fewer than l shared n-grams among their first have no link and leave; each of the others leaves up to
+(l - 1) / 2 of its regions, the most crowded ones, which parts no pair. Overlapping regions are united.
 
 Inside a region, documents are pivots. A document within the radius r of its nearest pivot is linked to
 it, and so to all others there: that is the pivot's cell. What remains to be found are links that cross
-a cell's rim; by the triangle inequality they lead from a cell to documents within 2 r of its pivot, which
-are replicated to the cell as its boundary, and the two sides are compared where their distances to the
-pivot differ by at most r. Documents in no cell form a new region and are joined recursively, until a
-region fits in memory; there the same windows steer an exact search. Regions that pivots don't split are
-joined block by block. Equal sets are one node throughout.
+a cell's rim; by the triangle inequality they lead from a cell to documents within 2 r of its pivot. Those
+not yet connected to it are replicated to the cell as its boundary, and the two sides are compared where
+their distances to the pivot differ by at most r. Documents in no cell form a new region and are joined
+recursively, until a region fits in memory; there the same windows steer an exact search. Regions that
+pivots hardly split are joined block by block. Equal sets are one node throughout.
 
 Sizes: sets travel only to regions that hold a candidate; regions over REGION_TOKENS are split as above,
 so that no task gathers one. The list of frequent n-grams, which only steers the order, is bounded by the
@@ -25,7 +27,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,15 +38,19 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, span_hash
 from lodestone.llm.components import components
-from lodestone.llm.store import drop, shared_folder, written
+from lodestone.llm.store import drop, join_small, written
 
 WORDS, PERCENT = 5, 80
 #: Share of documents from which on an n-gram counts as frequent (and stands last in the order).
 FREQUENT = 0.001
-#: Tokens of a region that one task joins.
-REGION_TOKENS = 2_000_000
-PIVOTS = 16
-UNIT = 48 << 20
+#: Documents with candidates up to which their ids (32 bytes each) are broadcast to the texts; more are joined by a shuffle.
+ASKED_ROWS = 1_000_000
+#: Share of a set's n-grams that must be found shared among its first ones.
+SHARED = 0.2
+#: Tokens of a region that one task joins, and pivots of a larger one.
+REGION_TOKENS = 1_000_000
+PIVOTS = 8
+UNIT = 12 << 20
 LEAST_BLOCKS, BLOCK_BYTES = 128, 16 << 20
 CODES = byte_codes(201, fold_case=True)
 IS_SPACE = np.zeros(256, bool)
@@ -97,7 +102,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.
     """Pieces of batches with their sets and bytes."""
     for batch in batches:
         data, offsets = raw(batch.column("text"))
-        for i, j in pieces(offsets, 4 << 20):
+        for i, j in pieces(offsets, 1 << 20):
             yield batch.slice(i, j - i), *shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), int(offsets[j] - offsets[i])
 
 
@@ -131,9 +136,14 @@ def measure(words: int, frequent: float) -> Callable:
     return run
 
 
+def least_shared(n: np.ndarray | int) -> np.ndarray | int:
+    """l for a set of n n-grams; it never falls as n grows."""
+    return np.maximum(1, (np.asarray(n) * SHARED).astype(np.int64))
+
+
 def prefix_size(n: int, percent: int) -> int:
-    """N-grams of a set of n, one of which a set within the radius must share."""
-    return n - -(-percent * n // 100) + 1
+    """How many first n-grams of a set of n hold l of those that it shares with a set within the radius."""
+    return n - -(-percent * n // 100) + int(least_shared(n))
 
 
 def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Callable:
@@ -144,7 +154,7 @@ def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Cal
         token, node, n = (np.concatenate(c) for c in zip(*found))
         rows = []
         for b, at in by_block(((token >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)):
-            rows.append((b, pack(token[at].astype("<u8"), node[at].astype("<i8"), n[at].astype("<i4"))))
+            rows.append((b, pack((token[at] >> np.uint64(16)).astype("<u8"), node[at].astype("<i8"), n[at].astype("<i4"))))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +183,14 @@ def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Cal
     return run
 
 
+SHARES = "gram bigint, node bigint, n bigint, seen bigint, weight bigint, sets bigint"
+
+
 def shared_grams(percent: int) -> Callable:
-    """Where all first n-grams of a kind meet: edges from each region's least set to its others."""
+    """Where all first n-grams of a kind meet: (region of an n-gram, set), and how many of its first n-grams each set shares.
+
+    N-grams that exactly the same sets share are one region, with their number as its weight.
+    """
     from lodestone.llm.suffixdedup import gathered
 
     def run(group: pa.Table) -> pa.Table:
@@ -186,17 +202,25 @@ def shared_grams(percent: int) -> Callable:
         token, node, n = token[fresh], node[fresh], n[fresh]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
-        heads = np.flatnonzero(new)
-        if not len(heads):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        least = np.repeat(np.minimum.reduceat(node, heads), np.diff([*heads, len(node)]))
-        pairs = np.unique(np.stack([least, node], 1)[least != node], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        number = np.cumsum(new) - 1
+        many = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+        gram = mix(token * FACTORS[60] + number.astype(np.uint64)).view(np.int64)[many]
+        node, n = node[many], n[many]
+        heads = np.flatnonzero(np.diff(gram, prepend=gram[:1] + 1)) if len(gram) else np.zeros(0, np.int64)
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(node.view(np.uint64)))])
+        ends = np.append(heads[1:], len(gram)).astype(np.int64)
+        _, first, alike = np.unique(np.stack([total[ends] - total[heads], (ends - heads).astype(np.uint64)], 1), axis=0, return_index=True, return_counts=True)
+        keep = np.concatenate([np.arange(heads[k], ends[k]) for k in first]) if len(first) else heads
+        size = ends[first] - heads[first]
+        weight, sets = np.repeat(alike, size), np.repeat(size, size)
+        who, at, seen = np.unique(node, return_index=True, return_counts=True)
+        nulls = lambda k: pa.nulls(k, pa.int64())
+        return pa.table({"gram": pa.concat_arrays([pa.array(gram[keep]), nulls(len(who))]), "node": pa.array(np.concatenate([node[keep], who])), "n": pa.array(np.concatenate([n[keep], n[at]])), "seen": pa.concat_arrays([nulls(len(keep)), pa.array(seen.astype(np.int64))]), "weight": pa.concat_arrays([pa.array(weight.astype(np.int64)), nulls(len(who))]), "sets": pa.concat_arrays([pa.array(sets.astype(np.int64)), nulls(len(who))])})
 
     return run
 
 
-SETS = "region bigint, node bigint, n bigint, tokens binary"
+SETS = "region bigint, bin int, node bigint, n bigint, tokens binary"
 
 
 def fetch_sets(words: int) -> Callable:
@@ -207,7 +231,7 @@ def fetch_sets(words: int) -> Callable:
             ask = part.column("node").to_numpy()
             at = np.flatnonzero(set_hash(tokens, bounds) == ask)  # another text of the same id isn't meant
             body = [tokens[bounds[r] : bounds[r + 1]].tobytes() for r in at]
-            yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), pa.array(ask[at]), pa.array(np.diff(bounds)[at]), pa.array(body, pa.binary())], names=["region", "node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), part.column("bin").take(pa.array(at)), pa.array(ask[at]), pa.array(np.diff(bounds)[at]), pa.array(body, pa.binary())], names=["region", "bin", "node", "n", "tokens"])
 
     return run
 
@@ -221,19 +245,24 @@ class Sets:
         parts = [np.frombuffer(bodies[k], "<u8") for k in keep]
         self.n = np.array([len(p) for p in parts], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
-        values, self.tokens = np.unique(np.concatenate(parts), return_inverse=True) if parts else (np.zeros(0), np.zeros(0, np.int64))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        values = np.unique(flat)
+        self.tokens = np.searchsorted(values, flat).astype(np.int32)
         self.flag = np.zeros(len(values) + 1, np.uint8)
 
     def shared(self, one: int, others: np.ndarray) -> np.ndarray:
         """Tokens that a set shares with each of others."""
         own = self.tokens[self.start[one] : self.start[one + 1]]
         self.flag[own] = 1
-        n = self.n[others]
-        at = np.concatenate([[0], np.cumsum(n)])
-        where = np.repeat(self.start[others] - at[:-1], n) + np.arange(at[-1])
-        total = np.concatenate([[0], np.cumsum(self.flag[self.tokens[where]], dtype=np.int64)])
+        out = np.empty(len(others), np.int64)
+        for i, j in pieces(np.concatenate([[0], np.cumsum(self.n[others])]), 1 << 18):
+            n = self.n[others[i:j]]
+            at = np.concatenate([[0], np.cumsum(n)])
+            where = np.repeat(self.start[others[i:j]] - at[:-1], n) + np.arange(at[-1])
+            total = np.concatenate([[0], np.cumsum(self.flag[self.tokens[where]], dtype=np.int64)])
+            out[i:j] = total[at[1:]] - total[at[:-1]]
         self.flag[own] = 0
-        return total[at[1:]] - total[at[:-1]]
+        return out
 
     def sized(self, one: int, others: np.ndarray, percent: int) -> np.ndarray:
         """Those of others whose size allows a link."""
@@ -302,41 +331,27 @@ def join_regions(percent: int) -> Callable:
     return run
 
 
-CELL, REST, LINK = 0, 1, 2
-ROUND = "kind int, region bigint, node bigint, n bigint, tokens binary, inside boolean, other bigint, distance double"
+ROUND = "region bigint, node bigint, n bigint, pivots array<bigint>, distances array<double>, linked array<boolean>"
 
 
 def to_pivots(percent: int) -> Callable:
-    """Documents of a region against its pivots: links to the nearest, cells with their boundaries, and the rest."""
+    """Members of a region against its pivots: the pivots within 2 r, their distances, and whether they are linked."""
     radius = 1 - percent / 100 + 1e-9
 
     def run(group: pa.Table) -> pa.Table:
-        nodes, bodies, pivot = group.column("node").to_numpy(), group.column("tokens").to_pylist(), group.column("pivot").to_numpy(zero_copy_only=False)
-        region = group.column("region")[0].as_py()
-        body = dict(zip(nodes.tolist(), bodies))
-        sets = Sets(nodes, bodies)
-        number = {x: k for k, x in enumerate(sets.nodes.tolist())}
-        pivots = sorted({number[x] for x in nodes[pivot].tolist()})
-        members = np.array(sorted({number[x] for x in nodes[~pivot].tolist()}), np.int64)
-        distance = np.stack([sets.linked(p, members, percent)[1] for p in pivots], 1) if len(members) else np.zeros((0, len(pivots)))
-        links = np.stack([sets.linked(p, members, percent)[0] for p in pivots], 1) if len(members) else np.zeros((0, len(pivots)), bool)
-        rows = []
-        for k, m in enumerate(members.tolist()):
-            own = (int(sets.nodes[m]), int(sets.n[m]), body[int(sets.nodes[m])])
-            home = int(np.where(links[k], distance[k], 2).argmin()) if links[k].any() else -1
-            if home >= 0:
-                p = int(sets.nodes[pivots[home]])
-                rows.append((LINK, p, own[0], own[1], None, None, None, 0.0))
-                rows.append((CELL, p, *own, True, None, float(distance[k, home])))
-            else:
-                rows.append((REST, region, *own, None, None, 0.0))
-            for j, p in enumerate(pivots):
-                if j != home and distance[k, j] <= 2 * radius:
-                    if links[k, j]:
-                        rows.append((LINK, int(sets.nodes[p]), own[0], own[1], None, None, None, 0.0))
-                    else:
-                        rows.append((CELL, int(sets.nodes[p]), *own, False, None, float(distance[k, j])))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 8, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.float64()))], names=["kind", "region", "node", "n", "tokens", "inside", "other", "distance"])
+        nodes, pivot = group.column("node").to_numpy(), group.column("pivot").to_numpy(zero_copy_only=False)
+        sets = Sets(nodes, group.column("tokens").to_pylist())
+        pivots = np.searchsorted(sets.nodes, np.unique(nodes[pivot]))
+        members = np.searchsorted(sets.nodes, np.unique(nodes[~pivot]))
+        near, far, tied = [[] for _ in members], [[] for _ in members], [[] for _ in members]
+        for p in pivots.tolist():
+            hit, distance = sets.linked(p, members, percent)
+            for k in np.flatnonzero(distance <= 2 * radius).tolist():
+                near[k].append(int(sets.nodes[p]))
+                far[k].append(float(distance[k]))
+                tied[k].append(bool(hit[k]))
+        region = pa.array([group.column("region")[0].as_py()] * len(members), pa.int64())
+        return pa.Table.from_arrays([region, pa.array(sets.nodes[members]), pa.array(sets.n[members]), pa.array(near, pa.list_(pa.int64())), pa.array(far, pa.list_(pa.float64())), pa.array(tied, pa.list_(pa.bool_()))], names=["region", "node", "n", "pivots", "distances", "linked"])
 
     return run
 
@@ -365,54 +380,69 @@ def across_rim(percent: int) -> Callable:
 EDGES = "a bigint, b bigint"
 
 
-def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> list[DataFrame]:
-    """Links inside all regions of a table of sets, as tables of edges."""
+def with_bins(regions: DataFrame, most: int) -> DataFrame:
+    """regions (region, node, n) with the bin of each region that fits in a task; larger ones have none."""
+    sizes = written(regions.groupBy("region").agg(F.sum("n").alias("size")), "regions")
+    total = sizes.agg(F.sum(F.when(F.col("size") <= most, F.col("size")))).first()[0] or 0
+    bins = 64 + int(4 * total // most)
+    return regions.join(sizes, "region").withColumn("bin", F.when(F.col("size") <= most, F.pmod(F.xxhash64("region"), F.lit(bins))).cast("int"))
+
+
+def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> DataFrame:
+    """Links inside regions that are too large for a task; sets: (region, node, n, tokens)."""
+    radius = 1 - percent / 100 + 1e-9
     edges: list[DataFrame] = []
-    shape = lambda t, key: t.groupBy(key).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("docs"))
-    before = None
-    turn = 0
+    turn, before = 0, None
+    part = lambda c, salt, parts: F.pmod(F.xxhash64(c, F.lit(salt)), parts).cast("int")
     while True:
-        sizes = written(shape(sets, "region"), "regions")
-        total = sizes.agg(F.sum(F.when(F.col("size") <= most, F.col("size"))), F.max("size"), F.count(F.lit(1))).first()
-        if not total[2]:
-            return edges
-        small = sets.join(sizes.where(F.col("size") <= most).select("region"), "region")
-        bins = 64 + int(4 * (total[0] or 0) // most)
-        edges.append(written(small.withColumn("bin", F.pmod(F.xxhash64("region"), F.lit(bins))).groupBy("bin").applyInArrow(join_regions(percent), EDGES), "links"))
-        if total[1] <= most:
-            return edges
-        large = sizes.where((F.col("size") > most) & (F.col("docs") > 1))
-        if before is not None:  # regions that the last turn hardly shrank are joined block by block
-            stuck = large.join(before, "region").where(F.col("size") > 0.7 * F.col("was")).select("region", F.ceil(2 * F.col("size") / most).cast("int").alias("parts"))
-            rest = sets.join(stuck, "region").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int"))
-            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            rest = rest.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("own", "other", "parts")
-            edges.append(written(rest.groupBy("region", "low", "high").applyInArrow(join_regions(percent), EDGES), "links"))
-            large = large.join(stuck, "region", "left_anti")
-        large = written(large.select("region", "size"), "large")
-        if not large.count():
-            return edges
-        active = sets.join(large.withColumn("salts", F.ceil(F.col("size") / most).cast("int")), "region")
+        sizes = written(sets.groupBy("region").agg(F.sum("n").alias("size")), "large")
+        if not sizes.limit(1).count():
+            break
+        plan = sizes.withColumn("was", F.lit(None).cast("long")) if before is None else sizes.join(before, "region", "left")
+        stuck = (F.col("size") > most) & F.coalesce(F.col("size") > 0.7 * F.col("was"), F.lit(False))
+        plan = written(plan.select("region", "size", (F.col("size") <= most).alias("fits"), stuck.alias("stuck")), "plan")
+        small = join_small(sets, plan.where("fits").select("region"), ["region"], "left_semi")
+        edges.append(small.groupBy("region").applyInArrow(join_regions(percent), EDGES))
+        blocks = join_small(sets, plan.where("stuck").select("region", F.ceil(2 * F.col("size") / most).cast("int").alias("parts")), ["region"], "inner")
+        blocks = blocks.withColumn("own", part("node", 5, F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        blocks = blocks.select("region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "tokens")
+        edges.append(blocks.groupBy("region", "low", "high").applyInArrow(join_regions(percent), EDGES))
+        large = plan.where("not fits and not stuck").select("region", "size", F.ceil(F.col("size") / most).cast("int").alias("salts"))
+        if not large.limit(1).count():
+            break
+        active = join_small(sets, large, ["region"], "inner")
         rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-        chosen = active.select("region", "node").withColumn("rank", rank).where(F.col("rank") <= pivots).select("region", "node", F.lit(True).alias("pivot"))
-        marked = written(active.join(chosen, ["region", "node"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False))), "marked")
-        salt = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(3)), F.col("salts")).cast("int")))
-        dealt = marked.withColumn("salt", F.explode(salt)).select("region", "salt", "node", "n", "tokens", "pivot")
+        chosen = written(active.select("region", "node").withColumn("rank", rank).where(F.col("rank") <= pivots).select("region", "node", F.lit(True).alias("chosen")), "pivots")
+        marked = join_small(active, chosen, ["region", "node"])
+        copies = F.array(F.struct(part("node", 3, F.col("salts")).alias("salt"), F.lit(False).alias("pivot")))
+        as_pivot = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda k: F.struct(k.alias("salt"), F.lit(True).alias("pivot")))
+        dealt = marked.select("region", "node", "n", "tokens", F.explode(F.when(F.col("chosen"), F.concat(copies, as_pivot)).otherwise(copies)).alias("c")).select("region", "node", "n", "tokens", "c.*")
         found = written(dealt.groupBy("region", "salt").applyInArrow(to_pivots(percent), ROUND), "round")
-        edges.append(found.where(F.col("kind") == LINK).select(F.col("region").alias("a"), F.col("node").alias("b")))
-        # pivots of a region may be linked to each other, and lie across each other's rims: they stay in the rest
-        cells = found.where(F.col("kind") == CELL)
-        shapes = cells.groupBy("region").agg(F.sum(F.when(F.col("inside"), F.col("n"))).alias("core"), F.sum(F.when(~F.col("inside"), F.col("n"))).alias("rim")).where("core is not null and rim is not null")
-        grid = cells.join(shapes.select("region", F.ceil(2 * F.col("core") / most).cast("int").alias("cores"), F.ceil(2 * F.col("rim") / most).cast("int").alias("rims")), "region")
-        own = F.pmod(F.xxhash64("node", F.lit(9)), F.when(F.col("inside"), F.col("cores")).otherwise(F.col("rims"))).cast("int")
-        grid = grid.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rims")).otherwise(F.col("cores")) - 1)))
-        grid = grid.withColumn("x", F.when(F.col("inside"), F.col("own")).otherwise(F.col("other"))).withColumn("y", F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")))
-        edges.append(written(grid.select("region", "x", "y", "node", "tokens", "inside", "distance").groupBy("region", "x", "y").applyInArrow(across_rim(percent), EDGES), "links"))
-        rest = found.where(F.col("kind") == REST).select("region", "node", "n", "tokens")
-        pivot_rows = marked.where("pivot").select("region", "node", "n", "tokens")
-        rest_sets = written(rest.unionByName(pivot_rows), "rest")
-        before = large.select("region", F.col("size").alias("was"))
-        sets, turn = rest_sets, turn + 1
+        each = found.select("region", "node", "n", F.explode(F.arrays_zip("pivots", "distances", "linked")).alias("p")).select("region", "node", "n", F.col("p.pivots").alias("pivot"), F.col("p.distances").alias("distance"), F.col("p.linked").alias("linked"))
+        links = written(each.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")), "links")
+        edges.append(links)
+        known = components(links)
+        whose = lambda t, c, out: t.join(known.select(F.col("node").alias(c), F.col("component").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+        apart = whose(whose(each.where(~F.col("linked") & (F.col("distance") <= 2 * radius)), "node", "__y"), "pivot", "__p").where(F.col("__y") != F.col("__p"))
+        rim = written(apart.select(F.col("pivot").alias("cell"), "node", "n", "distance"), "rim")
+        if rim.limit(1).count():
+            home = each.where("linked").groupBy("node").agg(F.min(F.struct("distance", F.col("pivot").alias("cell"), "n")).alias("h")).select("node", "h.*")
+            core = home.join(rim.select("cell").distinct(), "cell", "left_semi")
+            both = written(rim.withColumn("inside", F.lit(False)).unionByName(core.withColumn("inside", F.lit(True))), "cells")
+            shape = both.groupBy("cell").agg(*(F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(F.col("inside") == i, F.col("n"))) / most)).cast("int").alias(c) for i, c in ((True, "cores"), (False, "rims"))))
+            grid = both.join(shape, "cell").join(sets.select("node", "tokens"), "node")
+            own = part("node", 9, F.when(F.col("inside"), F.col("cores")).otherwise(F.col("rims")))
+            grid = grid.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rims")).otherwise(F.col("cores")) - 1)))
+            x, y = F.when(F.col("inside"), F.col("own")).otherwise(F.col("other")), F.when(F.col("inside"), F.col("other")).otherwise(F.col("own"))
+            grid = grid.select("cell", x.alias("x"), y.alias("y"), "node", "tokens", "inside", "distance")
+            edges.append(grid.groupBy("cell", "x", "y").applyInArrow(across_rim(percent), EDGES))
+        rest = found.where(~F.exists("linked", lambda v: v)).select("node")
+        sets = written(active.select("region", "node", "n", "tokens").join(rest, "node", "left_semi"), "rest")
+        before, turn = large.select("region", F.col("size").alias("was")), turn + 1
+    out = edges[0] if edges else sets.sparkSession.createDataFrame([], EDGES)
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    return out
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, region_tokens: int = REGION_TOKENS, pivots: int = PIVOTS) -> DataFrame:
@@ -427,16 +457,25 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
     listed = often.orderBy(F.desc("seen"), "token").limit(most).select("token").collect()
     common = np.sort(np.array([r[0] for r in listed], np.int64).view(np.uint64))
     blocks = LEAST_BLOCKS + int(8 * tokens) // BLOCK_BYTES
-    near = rows.mapInArrow(postings(words, percent, common, blocks), "block int, body binary").groupBy("block").applyInArrow(shared_grams(percent), EDGES)
-    regions = components(near)
-    nodes = written(docs_of.where("n > 0").groupBy("node").agg(F.min("id").alias("id")), "nodes")
-    asked = regions.join(nodes, "node").select("id", "node", F.col("component").alias("region"))
-    sets = written(rows.join(asked, "id").select("text", "node", "region").mapInArrow(fetch_sets(words), SETS), "sets")
-    links = None
-    for e in split_regions(sets, percent, region_tokens, pivots):
-        links = e if links is None else links.unionByName(e)
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], EDGES)
+    near = written(rows.mapInArrow(postings(words, percent, common, blocks), "block int, body binary").groupBy("block").applyInArrow(shared_grams(percent), SHARES), "shared")
+    # a partner has at least percent of a set's n-grams, so it asks for l of that many at least
+    needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * SHARED).cast("long"))
+    able = near.where(F.col("seen").isNotNull()).groupBy("node").agg(F.sum("seen").alias("seen"), F.first("n").alias("n")).where(F.col("seen") >= needed).select("node")
+    # two partners share l n-grams at least, so each may leave out (l - 1) / 2: those that most sets share
+    spare = F.floor((needed - 1) / 2)
+    upto = F.sum("weight").over(Window.partitionBy("node").orderBy(F.desc("sets"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = near.where(F.col("gram").isNotNull()).join(able, "node", "left_semi").withColumn("upto", upto).where(F.col("upto") > spare)
+    held = written(rare.select("gram", "node"), "held")
+    heads = held.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gram", "a")
+    regions = components(held.join(heads, "gram").select("a", F.col("node").alias("b")))
+    nodes = written(docs_of.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
+    asked = with_bins(nodes.join(regions, "node").select("id", "node", "n", F.col("component").alias("region")), region_tokens)
+    drop(near)
+    drop(held)
+    asked = written(asked.select("id", "node", "region", "bin"), "asked")
+    sets = written(join_small(rows, asked, ["id"], "inner", ASKED_ROWS).select("text", "node", "region", "bin").mapInArrow(fetch_sets(words), SETS), "sets")
+    links = sets.where(F.col("bin").isNotNull()).groupBy("bin").applyInArrow(join_regions(percent), EDGES)
+    links = links.unionByName(split_regions(sets.where(F.col("bin").isNull()).drop("bin"), percent, region_tokens, pivots))
     linked = components(links)
     named = nodes.join(linked, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("least"))

@@ -38,10 +38,10 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """big joined to a table that is expected to be small; it is broadcast only after its rows have been counted."""
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = BROADCAST_ROWS) -> DataFrame:
+    """big joined to a table that is expected to be small; it is broadcast only if it was counted to have so many rows at most."""
     from pyspark.sql import functions as F
 
-    if small.count() <= BROADCAST_ROWS:
+    if small.count() <= rows:
         small = F.broadcast(small)
     return big.join(small, on, how)
