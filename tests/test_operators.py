@@ -86,7 +86,7 @@ def test_chunks_keep_order_sections_and_overlap(spark):
 
 def test_oversized_paragraphs_are_cut():
     assert all(len(p) <= 50 for p in chunker.cut_paragraph("A short one. " + "x" * 130 + " then. Another sentence that is a bit too long for it.", 50))
-    assert chunker.sentences("See Fig. 3 by J. Smith et al. It works! Yes.") == ["See Fig. 3 by J. Smith et al. It works!", "Yes."] or True
+    assert chunker.sentences("See Fig. 3 by J. Smith et al. It works! Yes.") == ["See Fig. 3 by J. Smith et al. It works!", "Yes."]
     assert chunker.is_heading("Model Architecture and Training") and not chunker.is_heading("It ends here.")
 
 
