@@ -33,8 +33,8 @@ SCHEDULES = (
     ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)),
     ((0.0, 1.0), (1.0, 1.0)),
 )
-#: Documents that a bucket of a source's order holds on average, at most.
-BUCKET_DOCS = 20_000
+#: Documents of a bucket of the order, on average; with four digits of the hash there are 65,536 buckets of a source at most.
+BUCKET_DOCS = 500
 HEX = 1 << 32
 
 
