@@ -38,15 +38,15 @@ from pyspark.sql import types as T
 
 from lodestone.llm import anchors
 from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, span_hash
-from lodestone.llm.store import drop, written
+from lodestone.llm.store import small_batches, written
 
 LENGTH = 100
 #: Bytes of text that a task takes together: for its anchors, and for the blocks it packs.
-UNIT = 48 << 20
+UNIT = 24 << 20
 #: Surroundings from which on a k-gram's windows are dealt out one by one.
 CROWD = 1000
 #: Blocks of the exchanges: so many at least, and one more for so many bytes of text.
-LEAST_BLOCKS, BLOCK_BYTES = 128, 8 << 20
+LEAST_BLOCKS, BLOCK_BYTES = 128, 4 << 20
 WINDOW_CODES = byte_codes(103)
 ROWS = "block int, kind int, body binary"
 ANCHORS, REPEATS, SORT, SORT_ALONE, TEXTS, RUN = range(6)
@@ -136,7 +136,7 @@ def anchor_rows(length: int, blocks: int, doc_blocks: int) -> Callable:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
             ids, keys = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("__id", "__text_key"))
-            for i, j in pieces(offsets, 4 << 20):
+            for i, j in pieces(offsets, 2 << 20):
                 a = anchors.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 if len(a):
                     found.append([a.gram, a.whole, ids[i + a.row], keys[i + a.row], a.first, a.last - a.first])
@@ -488,9 +488,9 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     if text != "text" and "text" in [f.name for f in keep]:
         raise ValueError("a column named text must be the text")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = LEAST_BLOCKS + int(total) // (2 * BLOCK_BYTES)
+    blocks = LEAST_BLOCKS + int(total) // (4 * BLOCK_BYTES)
     doc_blocks = LEAST_BLOCKS + int(total) // BLOCK_BYTES
-    narrow = rows.select("__id", "__text_key", "text")
+    narrow = small_batches(rows).select("__id", "__text_key", "text")
     found = written(narrow.mapInArrow(anchor_rows(length, blocks, doc_blocks), ROWS).groupBy("block").applyInArrow(anchor_groups(doc_blocks, crowd), ROWS), "anchors")
     asked = found.where(F.col("kind").isin(SORT, SORT_ALONE))
     packed = narrow.mapInArrow(pack_documents(doc_blocks), ROWS)
