@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, jaccardjoin, langid, mixing, suffixdedup
-from lodestone.llm.store import written
+from lodestone.llm.store import join_small, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,12 +24,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays; documents without words stay."""
-    rows = docs.select(*COLUMNS)
-    groups = jaccardjoin.join(rows)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = rows.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near duplicates the document of smallest id stays, once if its id repeats; documents without words stay."""
+    rows = docs.select(*COLUMNS).withColumn("__id", F.coalesce("doc_id", F.lit(jaccardjoin.NO_ID)))
+    groups = jaccardjoin.join(docs.select("doc_id", "text")).groupBy(F.coalesce("doc_id", F.lit(jaccardjoin.NO_ID)).alias("__id"))
+    ids = written(groups.agg(F.min(F.coalesce("component_id", F.lit(jaccardjoin.NO_ID))).alias("least"), F.count(F.lit(1)).alias("__rows")), "groups")
+    stay = ids.where(F.col("__id") == F.col("least")).select("__id", "__rows")
+    kept = join_small(rows, stay, ["__id"], "inner", jaccardjoin.ASKED_ROWS)
+    once = kept.where("__rows = 1").select(*COLUMNS)
+    if not stay.where("__rows > 1").limit(1).count():
+        return once
+    return once.unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]).select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,8 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens of up to this many characters are remembered, and so many of them per worker.
-REMEMBER_CHARS, REMEMBER = 48, 400_000
+from lodestone.llm.store import small_batches
+
+#: Pre-tokens of up to this many characters are remembered, and so many of them during a task.
+REMEMBER_CHARS, REMEMBER = 48, 150_000
 
 _CODECS: dict[str, "Codec"] = {}
 
@@ -150,8 +152,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
                 offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield _replaced(part, out, ids)
+        c.known.clear()  # the worker outlives the task
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -165,7 +168,7 @@ def decode(docs: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", out
             rows = [None if x is None else c.decode(np.array(x, np.int64)) for x in b.column(ids).to_pylist()]
             yield _replaced(b, out, pa.array(rows, pa.binary()))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
@@ -183,8 +186,9 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "
                 columns = [part.column(f.name) for f in keep]
                 columns += [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        c.known.clear()  # the worker outlives the task
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def _parts(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:

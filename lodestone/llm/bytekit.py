@@ -17,10 +17,12 @@ MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers kept by a worker; more are made anew when asked for, as workers outlive tasks.
+KEPT_POWERS = 1 << 21
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64, grown by doubling; the first KEPT_POWERS are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         size = 1 << max(12, (n - 1).bit_length())
@@ -30,7 +32,9 @@ def powers(base: int, n: int) -> np.ndarray:
         while done < size:
             np.multiply(out[:done], np.uint64(step), out=out[done : 2 * done])
             done, step = 2 * done, step * step & MASK
-        _POWERS[base] = have = out
+        have = out
+        if size <= KEPT_POWERS:
+            _POWERS[base] = out
     return have[:n]
 
 

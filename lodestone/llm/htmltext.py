@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.store import small_batches
+
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[/!?]?[a-zA-Z?!](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[/!?]?[a-zA-Z][^>]*(?:>|\Z)|[^<]++|<""", re.S)
 NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 #: Elements whose content is never text; it ends at their own end tag only.
@@ -271,7 +273,7 @@ def extract(pages: DataFrame, page: str = "html", out: str = "text", table: tupl
                 texts = extract_many(part.column(page).to_pylist(), tree)
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(texts, pa.string())], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    return small_batches(pages).mapInArrow(run, schema)
 
 
 def extraction_query(pages: DataFrame) -> DataFrame:

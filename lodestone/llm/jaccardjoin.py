@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, span_hash
 from lodestone.llm.components import components
-from lodestone.llm.store import drop, join_small, written
+from lodestone.llm.store import drop, join_small, small_batches, written
 
 WORDS, PERCENT = 5, 80
 #: Share of documents from which on an n-gram counts as frequent (and stands last in the order).
@@ -448,7 +448,7 @@ def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> Data
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, region_tokens: int = REGION_TOKENS, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that links reach from each document."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    meta = written(rows.mapInArrow(measure(words, frequent), META), "sizes")
+    meta = written(small_batches(rows).mapInArrow(measure(words, frequent), META), "sizes")
     docs_of = meta.where(F.col("token").isNull()).select("id", "n", "node")
     facts = docs_of.agg(F.count(F.lit(1)), F.sum("n")).first()
     count, tokens = facts[0] or 0, facts[1] or 0

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bytekit import pieces, raw
+from lodestone.llm.store import small_batches
 
 #: Bytes in a window, embedding size, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 12, (2, 3, 4), 12
@@ -206,7 +207,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str
             best[~letters], value[~letters] = len(net.labels), 0.0
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(value, 1.0))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return small_batches(base).mapInArrow(run, schema)
 
 
 def language_query(docs: DataFrame) -> DataFrame:

@@ -11,6 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 50_000
 
 
+#: Rows of an Arrow batch between the JVM and Python: some megabytes of documents, on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, once its session hands rows to Python in batches of BATCH_ROWS at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; where none is named (tests), a temporary one becomes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

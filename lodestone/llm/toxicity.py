@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.bytekit import pieces, raw
+from lodestone.llm.store import small_batches
 
 #: Lengths of n-grams, bits of a feature's hash, least documents with a kept feature, most features.
 LENGTHS, BITS, LEAST_DOCS, FEATURES = (4, 5, 6), 20, 5, 1_000
@@ -152,7 +153,7 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "sc
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(p)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
