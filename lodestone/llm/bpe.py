@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.bytekit import release
 from lodestone.llm.store import small_batches
 
 #: Pre-tokens of up to this many characters are remembered, and so many of them during a task.
@@ -153,6 +154,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield _replaced(part, out, ids)
         c.known.clear()  # the worker outlives the task
+        release()
 
     return small_batches(docs).mapInArrow(run, schema)
 
@@ -187,6 +189,7 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str, text: str = "
                 columns += [pa.array([len(r) // 4 for r in rows], pa.int64()), pa.array([hashlib.sha256(r).hexdigest() for r in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
         c.known.clear()  # the worker outlives the task
+        release()
 
     return small_batches(docs).mapInArrow(run, schema)
 

@@ -21,6 +21,17 @@ _POWERS: dict[int, np.ndarray] = {}
 KEPT_POWERS = 1 << 21
 
 
+def release() -> None:
+    """Give what a task has freed back to the system; workers outlive tasks, and others need the memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, grown by doubling; the first KEPT_POWERS are kept."""
     have = _POWERS.get(base)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, span_hash
+from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, release, span_hash
 from lodestone.llm.components import components
 from lodestone.llm.store import drop, join_small, small_batches, written
 
@@ -132,6 +132,8 @@ def measure(words: int, frequent: float) -> Callable:
                 held, size, docs = [], 0, 0
         if held:
             yield common()
+        del held
+        release()
 
     return run
 
@@ -179,6 +181,8 @@ def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Cal
                 found, size, met = [], 0, set()
         if found:
             yield flush(found)
+        del found, met
+        release()
 
     return run
 
@@ -232,6 +236,7 @@ def fetch_sets(words: int) -> Callable:
             at = np.flatnonzero(set_hash(tokens, bounds) == ask)  # another text of the same id isn't meant
             body = [tokens[bounds[r] : bounds[r + 1]].tobytes() for r in at]
             yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), part.column("bin").take(pa.array(at)), pa.array(ask[at]), pa.array(np.diff(bounds)[at]), pa.array(body, pa.binary())], names=["region", "bin", "node", "n", "tokens"])
+        release()
 
     return run
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.bytekit import pieces, raw
+from lodestone.llm.bytekit import pieces, raw, release
 from lodestone.llm.store import small_batches
 
 #: Bytes in a window, embedding size, filter widths and filters of each width.
@@ -206,6 +206,7 @@ def identify(docs: DataFrame, net: Network | None, text: str = "text", pred: str
             letters = np.asarray(b.column("__letter").to_numpy(zero_copy_only=False), bool)
             best[~letters], value[~letters] = len(net.labels), 0.0
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(names[best].tolist(), pa.string()), pa.array(np.minimum(value, 1.0))], names=schema.names)
+        release()
 
     return small_batches(base).mapInArrow(run, schema)
 
