@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import bpe, jaccardjoin, langid, mixing, suffixdedup
 from lodestone.llm.store import join_small, written
@@ -24,16 +25,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of smallest id stays, once if its id repeats; documents without words stay."""
-    rows = docs.select(*COLUMNS).withColumn("__id", F.coalesce("doc_id", F.lit(jaccardjoin.NO_ID)))
-    groups = jaccardjoin.join(docs.select("doc_id", "text")).groupBy(F.coalesce("doc_id", F.lit(jaccardjoin.NO_ID)).alias("__id"))
-    ids = written(groups.agg(F.min(F.coalesce("component_id", F.lit(jaccardjoin.NO_ID))).alias("least"), F.count(F.lit(1)).alias("__rows")), "groups")
-    stay = ids.where(F.col("__id") == F.col("least")).select("__id", "__rows")
-    kept = join_small(rows, stay, ["__id"], "inner", jaccardjoin.ASKED_ROWS)
+    """Of each group of near duplicates the document of smallest id stays (null first), once if its row repeats; documents without words stay.
+
+    What is judged is an id with a text, known by the hash of both: other texts of the id, or without an id, belong to their own groups.
+    """
+    rows = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    groups = jaccardjoin.join(rows, doc_id="__key").select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct()
+    known = rows.groupBy("__key").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("__rows"))
+    best = groups.join(known, "__key").groupBy("__group").agg(F.min(F.struct("id", "__key", "__rows")).alias("best"))
+    stay = written(best.select("best.__key", "best.__rows"), "groups")
+    kept = join_small(rows, stay, ["__key"], "inner", jaccardjoin.ASKED_ROWS)
     once = kept.where("__rows = 1").select(*COLUMNS)
     if not stay.where("__rows > 1").limit(1).count():
         return once
-    return once.unionByName(kept.where("__rows > 1").dropDuplicates(["__id"]).select(*COLUMNS))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("lang", "source", "n_chars"))
+    return once.unionByName(kept.where("__rows > 1").withColumn("__copy", copy).where("__copy = 1").select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
