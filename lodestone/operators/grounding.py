@@ -70,6 +70,31 @@ def locate(pairs: DataFrame, text: str, quote: str, out: str = "span", cfg: Engi
     return pairs.withColumn(out, span(text, quote))
 
 
+def candidates(docs: DataFrame, quotes: DataFrame, text: str, quote: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Every pair of a row of docs and a row of quotes that locate() may find, with the columns of both (whose names differ).
+
+    A window of Jaccard j holds j of the quote's different words at least. So a text may lack 1 - j of them, and
+    of one more than that, the rarest ones, it holds at least one: an equi-join on those loses no pair.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words(texts: pd.Series) -> pd.Series:
+        # as find_span reads them
+        return pd.Series([[m.group().casefold() for m in TOKEN.finditer(t or "")] for t in texts], dtype=object)
+
+    row = docs.withColumn("__doc", F.xxhash64(*docs.columns)).withColumn("__have", F.array_distinct(words(text)))
+    ask = quotes.withColumn("__ask", F.xxhash64(*quotes.columns)).withColumn("__want", words(quote)).where(F.size("__want") >= cfg.min_evidence_tokens)
+    ask = ask.withColumn("__want", F.array_distinct("__want")).withColumn("__need", F.ceil(F.size("__want") * F.lit(cfg.evidence_jaccard) - 1e-9))
+    wanted = ask.select("__ask", "__need", F.size("__want").alias("__n"), F.explode("__want").alias("word")).distinct()
+    posts = row.select("__doc", F.explode("__have").alias("word")).join(wanted.select("word").distinct(), "word", "left_semi")
+    seen = wanted.join(posts.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word", "left")
+    rarest = Window.partitionBy("__ask").orderBy(F.coalesce("df", F.lit(0)), "word")
+    first = seen.withColumn("__at", F.row_number().over(rarest)).where(F.col("__at") <= F.col("__n") - F.col("__need") + 1).select("__ask", "word")
+    met = posts.join(first, "word").select("__ask", "__doc").distinct()
+    pairs = met.join(ask, "__ask").join(row, "__doc").where(F.size(F.array_intersect("__have", "__want")) >= F.col("__need"))
+    return pairs.select(*docs.columns, *quotes.columns)
+
+
 def distinct_texts(values: Column, most: int) -> Column:
     """White space folded, without blanks and without texts that match an earlier one; the first `most`."""
     clean = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: tx.one_space(tx.text_or_empty(v))), lambda v: tx.match_key(v) != "")

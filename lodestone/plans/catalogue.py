@@ -217,8 +217,8 @@ def evidence_exact_match(spark, d):
 
 @query()
 def evidence_fuzzy_match(spark, d):
-    hits = _sparse(spark, d).where("rank <= 3")
-    pairs = hits.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote")), "query_id").join(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), "key")
+    quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("quote"))
+    pairs = grounding.candidates(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), quotes, "text", "quote", CFG)
     return grounding.locate(pairs, "text", "quote", cfg=CFG).where("span is not null").select("query_id", "key", F.length("span").alias("span_chars"))
 
 
