@@ -344,7 +344,7 @@ def uncertainty_expr(spark, d):
 
 @query()
 def citation_remap(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.substring("text", 1, 60), F.lit(" [3, 1] and [9] then [1-3] and [1]."), F.col("turn")).alias("answer"), F.lit(4).alias("n"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" [3, 1] and [9] then [1-3] and [1]."), F.col("turn")).alias("answer"), F.lit(4).alias("n"))
     return answers.remap_citations(rows, "answer", "n").select("conv_id", "turn", "answer", "cited")
 
 

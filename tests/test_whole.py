@@ -28,3 +28,10 @@ def test_fuzzy_evidence_equals_brute_force(spark, tmp_path):
     got = [tuple(x) for x in registry.queries()["evidence_fuzzy_match"](spark, str(tmp_path)).select("query_id", "key", "span_chars").collect()]
     assert sum(i == 0 for i, _, _ in want) > 8 and (10, 200) in {x[:2] for x in want} and any(d is None for _, d, _ in want)
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_citations_after_a_long_text_are_remapped(spark, tmp_path):
+    rows = [(1, 0, "user", "word " * 40 + "as shown in [4] and [7]."), (1, 1, "user", "short")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.turn: x for x in registry.queries()["citation_remap"](spark, str(tmp_path)).collect()}
+    assert got[0].answer.startswith("word " * 40 + "as shown in [1]") and "[7]" not in got[0].answer and 4 in got[0].cited and 4 not in got[1].cited
