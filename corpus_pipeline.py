@@ -17,9 +17,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language can be told: those without text or without a letter."""
+    """Rejects documents in which no language can be told: those without text or without a letter, also where no labels teach a network."""
     rows = docs.select(*COLUMNS)
     net = langid.fit(rows, ~F.coalesce(langid.held_out(), F.lit(False)))
+    if net is None:
+        return rows.where(F.col("text").rlike(r"\p{L}"))
     found = langid.identify(rows, net, pred="__lang", score="__score")
     return found.where(F.col("__lang") != langid.UNDETERMINED).select(*COLUMNS)
 

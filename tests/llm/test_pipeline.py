@@ -49,3 +49,8 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
         # of d and its near copy, both without an id, either may stay
         assert len(texts) == 2 and c in texts and {d, d + " more"} & set(texts)
         assert sorted((x for x in got if x[0] is not None), key=str) == sorted([(1, a), (5, b), (8, e), (9, ""), (9, None)], key=str)
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "слово", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
