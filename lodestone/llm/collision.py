@@ -4,8 +4,8 @@ Every vector is projected on random directions; for each direction the projectio
 opens, in every array, a window centred on its own projection; windows widen together by virtual
 rehashing (the radius is multiplied, nothing is hashed anew). A vector that lies in the windows of enough
 directions has collided often enough to be verified: its exact distance is computed once. A query stops
-when its k-th verified distance is within what the windows at that radius have settled, and at the latest
-when the windows hold everything, so no candidate is capped.
+when its k-th verified distance, one for each id, is within what the windows at that radius have settled, and
+at the latest when the windows hold everything, so no candidate is capped and copies take no places.
 
 Vectors are dealt into blocks by hash and each block keeps its own sorted arrays; a fixed set of queries is
 dealt into blocks too, and each pair of blocks is one task. Its k best go on to one ranking per query.
@@ -41,10 +41,11 @@ def usable(vector: Column) -> Column:
 
 
 class Index:
-    """Sorted projections of a block of vectors."""
+    """Sorted projections of a block of vectors; of rows that share an id (default: none do) the nearest counts."""
 
-    def __init__(self, vectors: np.ndarray, directions: int, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, directions: int, seed: int = 11, ids: np.ndarray | None = None):
         self.vectors = vectors
+        self.number = np.arange(len(vectors)) if ids is None else np.unique(ids, return_inverse=True)[1]
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1], directions))
         p = vectors @ self.axes
         self.order = np.argsort(p, axis=0, kind="stable")
@@ -53,7 +54,7 @@ class Index:
         self.radius = float(np.median(np.abs(p - np.median(p, 0)))) / 8 + 1e-12
 
     def nearest(self, query: np.ndarray, k: int, skip: np.ndarray, threshold: float = THRESHOLD, step: float = STEP) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of about k nearest vectors other than skip, nearest first (with all ties at the k-th)."""
+        """Places and distances of the rows other than skip that are as near as the k-th nearest id found (with all ties)."""
         n, m = self.order.shape
         counts, seen = np.zeros(n, np.int32), np.zeros(n, bool)
         seen[skip] = True
@@ -61,6 +62,7 @@ class Index:
         hi, centre, radius = lo.copy(), query @ self.axes, self.radius
         places, distances = [np.zeros(0, np.int64)], [np.zeros(0)]
         enough = int(np.ceil(threshold * m))
+        least = np.full(n, np.inf)
         while True:
             fresh = []
             for j in range(m):
@@ -76,14 +78,15 @@ class Index:
                 d = self.vectors[new] - query
                 places.append(new)
                 distances.append(np.sqrt((d * d).sum(1)))
-            found = np.concatenate(distances)
+                np.minimum.at(least, self.number[new], distances[-1])
+            met = least[np.isfinite(least)]
             everything = all(lo == 0) and all(hi == n)
-            if everything or len(found) >= k and np.partition(found, k - 1)[k - 1] <= SETTLED * radius:
+            if everything or len(met) >= k and np.partition(met, k - 1)[k - 1] <= SETTLED * radius:
                 break
             radius *= step
-        at = np.concatenate(places)
-        if len(found) > k:
-            keep = found <= np.partition(found, k - 1)[k - 1]
+        at, found = np.concatenate(places), np.concatenate(distances)
+        if len(met) > k:
+            keep = found <= np.partition(met, k - 1)[k - 1]
             at, found = at[keep], found[keep]
         return at, found
 
@@ -99,7 +102,7 @@ def pair_of_blocks(k: int, directions: int) -> Callable:
         vectors = np.array(group.column("vector").to_pylist(), np.float64)
         pool, out = np.flatnonzero(~asks), ([], [], [])
         if len(pool) and asks.any():
-            index, own = Index(vectors[pool], directions), ids[pool]
+            index, own = Index(vectors[pool], directions, ids=ids[pool]), ids[pool]
             for q in np.flatnonzero(asks):
                 at, distance = index.nearest(vectors[q], k, np.flatnonzero(own == ids[q]))
                 order = np.lexsort((own[at], distance))

@@ -155,3 +155,24 @@ def test_nearest_neighbours(spark):
         hit, total = hit + len({k for _, k in best} & {x[1] for x in own}), total + 10
     assert hit / total >= 0.9 and not {700, 800, 900, 1002} & {x.query_id for x in found}
     assert collision.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_nearest_neighbours_of_repeated_ids(spark):
+    r = np.random.default_rng(3)
+    v = r.normal(size=(300, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    crowd = [(500, (v[0] + 1e-3 * r.normal(size=16)).tolist()) for _ in range(40)]
+    rows = 2 * [(k, x.tolist()) for k, x in enumerate(v)] + crowd
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collision.search(df, df.where("vec_id % 20 = 0 and vec_id < 300")).collect()
+    hit = 0
+    for q in range(0, 300, 20):
+        far = {}
+        for k, x in rows:
+            if k != q:
+                far[k] = min(far.get(k, np.inf), float(np.sqrt(((np.array(x) - v[q]) ** 2).sum())))
+        own = sorted((x.rank, x.vec_id, x.score) for x in found if x.query_id == q)
+        assert [x[0] for x in own] == list(range(1, 11)) and len({x[1] for x in own}) == 10
+        assert all(abs(s - far[k]) < 1e-9 for _, k, s in own)
+        hit += len({x[1] for x in own} & set(sorted(far, key=far.get)[:10]))
+    assert hit >= 0.9 * 150
