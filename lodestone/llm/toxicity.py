@@ -1,12 +1,20 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the hashed n-grams (4 to 6 bytes of the case-folded text) that a text holds. On a bounded
-labelled sample each feature gets the log ratio of its smoothed frequencies in toxic and other texts;
-a logistic regression is fitted to the features scaled by these ratios. The product of ratio and
-weight is one table, so a text's score is a sum of table entries over the distinct features it holds.
-
-Cases: a null or empty text has no features and scores by the intercept alone; with no label, or labels
-of one kind only, the intercept is the smoothed share of toxic labels; null labels teach nothing.
+Features are the n-grams of 4 to 6 characters (code points, lower-cased) that a text holds, hashed into
+2**BITS places; n-grams that fall in one place are one feature. Every place that the sample touches is a
+feature: it gets the log ratio of its smoothed frequencies in toxic and other texts, and a logistic
+regression is fitted to the features scaled by these ratios. The product of ratio and weight is one
+table, so a text's score is a sum of table entries over the distinct features that it holds.
+
+Bound: the sample takes SAMPLE_DOCS labelled documents of each class, those of least hash, with their
+whole texts. Everything else is read whole.
+
+Cases: a null or empty text, or one shorter than an n-gram, has no features and scores by the intercept
+alone; very long texts are scored whole, one at a time; rows that repeat score alike; a document labelled
+more than once is toxic if one label is; null labels and labels without a document teach nothing; with no
+label, or labels of one kind only, the intercept is the smoothed share of toxic labels; ties at the
+sample's edge go to the lesser text; a column named like the score is replaced, others are kept; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,17 +28,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.bytekit import pieces, raw
+from lodestone.llm.bytekit import raw, release
 from lodestone.llm.store import small_batches
 
-#: Lengths of n-grams, bits of a feature's hash, least documents with a kept feature, most features.
-LENGTHS, BITS, LEAST_DOCS, FEATURES = (4, 5, 6), 20, 5, 1_000
-#: The training sample's bound: documents of each class, and their characters at most.
-SAMPLE_DOCS, SAMPLE_CHARS = 1000, 20_000
+#: Lengths of n-grams, and bits of a feature's hash.
+LENGTHS, BITS = (4, 5, 6), 20
+#: The training sample's bound: documents of each class.
+SAMPLE_DOCS = 500
+#: Texts added to the counts of each side before ratios are taken: an n-gram that few texts hold says little.
+SMOOTHING = 20
+#: Code points below this are lower-cased, where the lower case is one code point.
+CASED = 0x2200
+
+
+def _lower() -> np.ndarray:
+    low = [chr(c).lower() for c in range(CASED)]
+    out = np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(low)], np.uint32)
+    out[[9, 10, 11, 12, 13]] = 32
+    return out
 
-FOLD = np.arange(256, dtype=np.uint32)
-FOLD[65:91] += 32
-FOLD[[9, 10, 11, 12, 13]] = 32
+
+FOLD = _lower()
 
 
 @dataclass
@@ -41,27 +59,45 @@ class Classifier:
     weight: np.ndarray
 
 
-def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs of the rows, sorted; with wanted, of the features it marks."""
-    n, found = len(data), []
-    ends = offsets - offsets[0]
-    x = FOLD[data]
-    h = x * np.uint32(0x9E3779B1)
+def characters(text: bytes) -> np.ndarray:
+    """The folded code points of UTF-8 bytes."""
+    x = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le", "replace"), "<u4")
+    small = x < CASED
+    return np.where(small, FOLD[np.where(small, x, 0)], x)
+
+
+def hashed(x: np.ndarray) -> np.ndarray:
+    """Places of all n-grams of a text's folded code points."""
+    h, found = x * np.uint32(0x9E3779B1), []
     for k in range(1, max(LENGTHS)):
-        if n <= k:
+        if len(x) <= k:
             break
         h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + x[k:] * np.uint32(0x9E3779B1)
         if k + 1 in LENGTHS:
-            code = ((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)
-            hit = np.flatnonzero(wanted[code]) if wanted is not None else np.arange(len(code))
-            row = np.searchsorted(ends, hit, "right") - 1
-            inside = hit + k < ends[row + 1]
-            found.append((row[inside] << BITS) | code[hit[inside]])
-    key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return key >> BITS, key & ((1 << BITS) - 1)
+            found.append(((h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS))
+    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
+
+class Features:
+    """The distinct features of texts, one text after the other."""
+
+    def __init__(self):
+        self.last = np.zeros(1 << BITS, np.int32)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        code = hashed(characters(text))
+        at = np.arange(len(code), dtype=np.int32)
+        self.last[code] = at
+        return code[self.last[code] == at]
+
+
+def log_ratios(toxic: np.ndarray, other: np.ndarray, toxic_texts: float, other_texts: float) -> np.ndarray:
+    """Log ratio of each feature's smoothed share of toxic and of other texts, from the numbers of texts that hold it."""
+    share = lambda n, of: np.log((n + SMOOTHING) / (of + 2 * SMOOTHING))
+    return share(toxic, toxic_texts) - share(other, other_texts)
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 150, strength: float = 1e-5) -> Classifier:
+def train(texts: list[str], labels: list[int], rounds: int = 60, strength: float = 1e-4, step: float = 10.0) -> Classifier:
     """Fit ratios and weights; the rows are put in a fixed order first."""
     order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
     y = np.array([labels[i] for i in order], np.float64)
@@ -69,43 +105,31 @@ def train(texts: list[str], labels: list[int], rounds: int = 150, strength: floa
     prior = (y.sum() + 1) / (len(y) + 2)
     if len(set(labels)) < 2:
         return Classifier(float(np.log(prior / (1 - prior))), weight)
-    data, offsets = raw(pa.array([texts[i] for i in order], pa.large_string()))
-    toxic, other = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for i, j in pieces(offsets, 1 << 19):  # counts first, so that only kept features are ever listed
-        row, code = features(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-        toxic += np.bincount(code, y[i + row], 1 << BITS)
-        other += np.bincount(code, 1 - y[i + row], 1 << BITS)
-    ratio = np.log((toxic + 1) / (toxic.sum() + FEATURES)) - np.log((other + 1) / (other.sum() + FEATURES))
-    ratio -= np.log((y.sum() + 1) / (len(y) - y.sum() + 1)) - np.log((toxic.sum() + FEATURES) / (other.sum() + FEATURES))
-    seen = toxic + other >= LEAST_DOCS
-    keep = np.flatnonzero(seen)
-    keep = keep[np.argsort(-np.abs(ratio[keep]) * np.sqrt(toxic + other)[keep], kind="stable")[:FEATURES]]
-    number, wanted = np.full(1 << BITS, -1), np.zeros(1 << BITS, bool)
-    number[keep], wanted[keep] = np.arange(len(keep)), True
-    found = [(i + row, code) for i, j in pieces(offsets, 1 << 20) for row, code in [features(data[offsets[i] : offsets[j]], offsets[i : j + 1], wanted)]]
-    row = np.concatenate([r for r, _ in found])
-    col = number[np.concatenate([c for _, c in found])]
-    value = ratio[keep][col]
+    features = Features()
+    codes = [features(texts[i].encode("utf-8", "replace")) for i in order]
+    size = np.array([len(c) for c in codes])
+    keep, col = np.unique(np.concatenate(codes), return_inverse=True)
+    codes, row = [], np.repeat(np.arange(len(y), dtype=np.int32), size)
+    col = col.astype(np.int32)
+    toxic = np.bincount(col, y[row], len(keep))
+    ratio = log_ratios(toxic, np.bincount(col, minlength=len(keep)) - toxic, y.sum(), len(y) - y.sum())
+    # a text's scaled features have length 1 on average, so that one step suits all samples
+    scale = ratio / max(1e-9, float(np.sqrt(np.bincount(row, (ratio * ratio)[col], len(y)).mean())))
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    norm = 1 / np.sqrt(np.bincount(row, value * value, len(y)).mean())
-    value = value * norm
-    speed = np.zeros_like(w)
-    past, speed_b, past_b = np.zeros_like(w), 0.0, 0.0
-    for t in range(1, rounds + 1):
-        z = np.bincount(row, value * w[col], len(y)) + b
+    speed, speed_b = np.zeros_like(w), 0.0
+    for _ in range(rounds):
+        z = np.bincount(row, (scale * w)[col], len(y)) + b
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        gw, gb = np.bincount(col, value * g[row], len(keep)) + strength * w, g.sum()
-        speed, past = 0.9 * speed + 0.1 * gw, 0.99 * past + 0.01 * gw * gw
-        speed_b, past_b = 0.9 * speed_b + 0.1 * gb, 0.99 * past_b + 0.01 * gb * gb
-        w -= 0.05 * (speed / (1 - 0.9**t)) / (np.sqrt(past / (1 - 0.99**t)) + 1e-7)
-        b -= 0.05 * (speed_b / (1 - 0.9**t)) / (np.sqrt(past_b / (1 - 0.99**t)) + 1e-7)
-    weight[keep] = w * ratio[keep] * norm
-    return Classifier(b, weight)
+        speed = 0.9 * speed + scale * np.bincount(col, g[row], len(keep)) + strength * w
+        speed_b = 0.9 * speed_b + g.sum()
+        w, b = w - step * speed, b - step * speed_b
+    weight[keep] = w * scale
+    return Classifier(float(b), weight)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, taught: Column, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most sample_docs rows of each class, those of least hash, none over SAMPLE_CHARS characters.
+    """Texts and labels of at most sample_docs rows of each class, those of least hash, whole.
 
     A document labelled more than once counts as toxic if one of its labels is.
     """
@@ -120,7 +144,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, taught: Column, sample_d
     if not ids:
         return [], []
     kind = {i: (h, t) for i, t, h in ids}
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS)).where(F.col("doc_id").isin(list(kind))).collect()
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).where(F.col("doc_id").isin(list(kind))).collect()
     taken: dict[int, list[str]] = {0: [], 1: []}
     for h, r in sorted(((kind[r["doc_id"]], r) for r in rows), key=lambda x: (x[0], x[1]["text"])):
         if len(taken[h[1]]) < sample_docs:
@@ -138,20 +162,16 @@ def score(docs: DataFrame, model: Classifier, text: str = "text", out: str = "sc
     """docs with the probability of being toxic; a column of that name is replaced."""
     keep = [f for f in docs.schema.fields if f.name != out]
     schema = T.StructType([*keep, T.StructField(out, T.DoubleType())])
-    used = np.flatnonzero(model.weight)
-    value, intercept = model.weight[used].astype(np.float64), model.intercept
+    weight, intercept = model.weight, model.intercept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, weight = np.zeros(1 << BITS, bool), np.zeros(1 << BITS)
-        wanted[used], weight[used] = True, value
+        features = Features()
         for b in batches:
             data, offsets = raw(b.column(text))
-            z = np.full(len(offsets) - 1, intercept)
-            for i, j in pieces(offsets, 1 << 20):
-                row, code = features(data[offsets[i] : offsets[j]], offsets[i : j + 1], wanted)
-                z[i:j] += np.bincount(row, weight[code], j - i)
+            z = np.array([intercept + float(weight[features(data[i:j].tobytes())].sum(dtype=np.float64)) for i, j in zip(offsets[:-1], offsets[1:])])
             p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(p)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(p, pa.float64())], names=schema.names)
+        release()
 
     return small_batches(docs).mapInArrow(run, schema)
 

@@ -155,3 +155,57 @@ def test_words_are_cut_as_stated():
     tokens, bounds = jaccardjoin.shingles(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
     words = re.findall(r"[^\x20\x09-\x0D]+", t.decode())
     assert bounds[-1] == len(words) - 4
+
+
+def test_toxicity_equals_a_dense_fit():
+    """The sparse fit and score against sets of n-grams in a dense matrix."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abÄ é\t漢") for _ in range(r.randrange(0, 40))) + (" SCUM" if k % 3 == 0 else "") for k in range(40)] + ["", "abc"]
+    labels = [int(k % 3 == 0) for k in range(40)] + [0, 0]
+    place = {}
+
+    def grams(t):
+        x = [toxicity.FOLD[ord(c)] if ord(c) < toxicity.CASED else ord(c) for c in t]
+        return {int(toxicity.hashed(np.array(x[i : i + n], np.uint32))[-1]) for n in toxicity.LENGTHS for i in range(len(x) - n + 1)}
+
+    order = sorted(range(len(texts)), key=lambda i: (labels[i], texts[i]))
+    for g in sorted(set().union(*map(grams, texts))):
+        place[g] = len(place)
+    x, y = np.zeros((len(texts), len(place))), np.array([labels[i] for i in order], float)
+    for row, i in enumerate(order):
+        x[row, [place[g] for g in grams(texts[i])]] = 1
+    s, n = toxicity.SMOOTHING, len(y)
+    ratio = np.log((x[y == 1].sum(0) + s) / (y.sum() + 2 * s)) - np.log((x[y == 0].sum(0) + s) / (n - y.sum() + 2 * s))
+    scaled = x * ratio / np.sqrt(((x * ratio) ** 2).sum(1).mean())
+    w, b, vw, vb = np.zeros(len(place)), np.log((y.sum() + 1) / (n - y.sum() + 1)), 0.0, 0.0
+    for _ in range(60):
+        g = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum())) * (1 / (1 + np.exp(-(scaled @ w + b))) - y)
+        vw, vb = 0.9 * vw + scaled.T @ g + 1e-4 * w, 0.9 * vb + g.sum()
+        w, b = w - 10 * vw, b - 10 * vb
+    model = toxicity.train(texts, labels)
+    features = toxicity.Features()
+    for row, i in enumerate(order):
+        assert abs(model.intercept + model.weight[features(texts[i].encode())].sum() - (scaled[row] @ w + b)) < 1e-3
+
+
+def test_language_tables_equal_a_plain_convolution():
+    r = np.random.default_rng(3)
+    texts = [bytes(r.integers(97, 123, r.integers(1, 600), dtype=np.uint8)) for _ in range(12)]
+    net = langid.train(texts, ["a", "b", "c"] * 4, epochs=1)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = langid.Predictor(net).documents(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for t, p in zip(texts, got):
+        each = []
+        for a in range(0, len(t), langid.WINDOW):
+            x = [int(langid.FOLD[c]) for c in t[a : a + langid.WINDOW].ljust(langid.WINDOW, b"\0")]
+            pooled = [max(float(np.concatenate([net.embed[c] for c in x[k : k + w]]) @ f[:, j]) for k in range(len(x) - w + 1)) for w, f in zip(langid.WIDTHS, net.filters) for j in range(langid.FILTERS)]
+            z = np.maximum(np.array(pooled) + net.bias, 0) @ net.dense + net.out
+            each.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        assert np.allclose(np.mean(each, 0), p, atol=1e-4)
+
+
+def test_classifiers_on_long_and_clashing_rows(spark):
+    rows = [(k, t, lang, 0.5, "x", k % 2) for k, t, lang in _language_rows(60)] + [(900, "the idiot " * 60000, "en", None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, toxic int")
+    a, b = langid.language_query(docs).collect(), toxicity.toxicity_query(docs, docs.select("doc_id", "toxic")).collect()
+    assert len(a) == len(b) == len(rows) and len({(r.lang_pred, r.score) for r in a if r.doc_id == 900}) == len({r.score for r in b if r.doc_id == 900}) == 1
