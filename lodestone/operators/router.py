@@ -12,9 +12,7 @@ from lodestone.functions import text as tx
 
 def within_margin(hits: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Hits of queries whose best hit reaches the question threshold, down to the margin below the best."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    floor = F.greatest(F.col("best") - cfg.question_margin, F.lit(cfg.question_threshold * cfg.floor_ratio))
-    return hits.withColumn("best", F.round(best, 6)).where((F.col("best") >= cfg.question_threshold) & (F.col("score") >= F.round(floor, 6)))
+    return _within(hits, cfg).where("accepted").drop("accepted")
 
 
 def distinct_answers(hits: DataFrame, key: str, answer: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -45,34 +43,50 @@ def blended_confidence(best: Column, gate: Column, cfg: EngineConfig = EngineCon
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(gate.isNull(), best).otherwise((1 - cfg.gate_weight) * best + cfg.gate_weight * gate)))
 
 
-def gated(accepted: DataFrame, gate: DataFrame | None) -> DataFrame:
-    """Accepted hits after the relevance gate: (query_id, keep array or null, gate_confidence).
+def _within(hits: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """hits with accepted: whether within_margin() keeps them."""
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    floor = F.greatest(best - cfg.question_margin, F.lit(cfg.question_threshold * cfg.floor_ratio))
+    return hits.withColumn("accepted", (best >= cfg.question_threshold) & (F.col("score") >= F.round(floor, 6)))
+
+
+def gated(hits: DataFrame, gate: DataFrame | None) -> DataFrame:
+    """hits (with accepted) after the relevance gate (query_id, keep array or null, gate_confidence).
 
     A null keep means that the gate failed, and keeps all; an empty one rejects all; else the hits listed
     stay, in the order listed.
     """
     if gate is None:
-        return accepted.withColumn("gate_rank", F.lit(0)).withColumn("gate_confidence", F.lit(None).cast("double"))
-    both = accepted.join(gate, "query_id", "left")
+        return hits.withColumn("gate_rank", F.lit(0)).withColumn("gate_confidence", F.lit(None).cast("double"))
     place = F.array_position("keep", F.col("key"))
-    return both.where(F.col("keep").isNull() | (place > 0)).withColumn("gate_rank", F.coalesce(place, F.lit(0))).withColumn("gate_confidence", F.when(F.col("keep").isNull(), F.lit(None)).otherwise(F.col("gate_confidence"))).drop("keep")
+    both = hits.join(gate, "query_id", "left").withColumn("accepted", F.col("accepted") & (F.col("keep").isNull() | (place > 0)))
+    return both.withColumn("gate_rank", F.coalesce(place, F.lit(0))).withColumn("gate_confidence", F.when(F.col("keep").isNotNull(), F.col("gate_confidence"))).drop("keep")
 
 
 def route(queries: DataFrame, question_hits: DataFrame, passage_hits: DataFrame, cfg: EngineConfig = EngineConfig(), gate: DataFrame | None = None) -> DataFrame:
     """(query_id, route, confidence, best_question, best_passage, threshold, qa_keys, chunk_keys) of every query.
 
-    question_hits and passage_hits: (query_id, key, score). Refusals carry their three nearest misses.
+    question_hits and passage_hits: (query_id, key, score); each is read once. Refusals carry their three
+    nearest misses.
     """
-    accepted = gated(within_margin(question_hits, cfg), gate)
     listed = lambda s: F.transform(F.array_sort(F.collect_list(s)), lambda x: x["key"])
-    tier1 = accepted.groupBy("query_id").agg(F.max("score").alias("best_accepted"), F.max("gate_confidence").alias("gate"), listed(F.struct("gate_rank", (-F.col("score")).alias("s"), "key")).alias("qa"))
-    nearest = lambda t, name: t.groupBy("query_id").agg(F.max("score").alias(f"best_{name}"), F.slice(listed(F.struct((-F.col("score")).alias("s"), "key")), 1, 3).alias(f"near_{name}"))
-    questions, passages = nearest(question_hits, "question"), nearest(passage_hits, "passage")
-    bar = passages.select("query_id", adaptive_threshold(F.col("best_passage"), cfg).alias("threshold"))
-    tier2 = passage_hits.join(bar, "query_id").where(F.col("score") >= F.col("threshold")).groupBy("query_id").agg(listed(F.struct((-F.col("score")).alias("s"), "key")).alias("chunks"))
-    q = queries.select("query_id")
-    for t in (tier1, questions, passages, bar, tier2):
-        q = q.join(t, "query_id", "left")
+    order = (-F.col("score")).alias("s")
+    nearest = F.slice(listed(F.struct(order, "key")), 1, 3)
+    questions = gated(_within(question_hits, cfg), gate).groupBy("query_id").agg(
+        F.max("score").alias("best_question"),
+        nearest.alias("near_question"),
+        F.max(F.when(F.col("accepted"), F.col("score"))).alias("best_accepted"),
+        F.max(F.when(F.col("accepted"), F.col("gate_confidence"))).alias("gate"),
+        listed(F.when(F.col("accepted"), F.struct("gate_rank", order, "key"))).alias("qa"),
+    )
+    bar = adaptive_threshold(F.max("score").over(Window.partitionBy("query_id")), cfg)
+    passages = passage_hits.withColumn("threshold", bar).groupBy("query_id").agg(
+        F.max("score").alias("best_passage"),
+        nearest.alias("near_passage"),
+        F.first("threshold").alias("threshold"),
+        listed(F.when(F.col("score") >= F.col("threshold"), F.struct(order, "key"))).alias("chunks"),
+    )
+    q = queries.select("query_id").join(questions, "query_id", "left").join(passages, "query_id", "left")
     one = F.coalesce(F.size("qa") > 0, F.lit(False))
     first = F.when(one, blended_confidence(F.col("best_accepted"), F.col("gate"), cfg))
     sure = one & (F.lit(not cfg.hybrid) | (first >= cfg.hybrid_ceiling))

@@ -1,4 +1,4 @@
-"""BM25 as tables: term counts, term statistics, corpus statistics, and scores as one join."""
+"""BM25 as tables: postings that are written once, statistics derived from them, and scores as one join."""
 
 from __future__ import annotations
 
@@ -10,31 +10,49 @@ from pyspark.sql.window import Window
 
 from lodestone.config import EngineConfig
 from lodestone.functions import text as tx
+from lodestone.sources import scratch
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings (key, term, tf, dl), terms (term, df, idf) and a row of corpus statistics (n, avgdl)."""
+    """postings (key, dl, term, tf, head), terms (term, df, idf), and the corpus: number and mean length of documents.
+
+    A document's first posting is its head; one without words has a head without a term.
+    """
 
     postings: DataFrame
     terms: DataFrame
-    corpus: DataFrame
+    n: int
+    avgdl: float
 
 
-def build(docs: DataFrame, key: str, text: str, cfg: EngineConfig = EngineConfig()) -> SparseIndex:
-    """Index of documents; every key is one document.
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings of documents; every row is one document.
 
-    A negative idf becomes epsilon times the vocabulary's mean idf. Documents without words count in n.
+    A document's words are sorted and counted in runs within its row, so nothing is shuffled.
     """
-    words = docs.select(F.col(key).alias("key"), tx.tokens(F.col(text)).alias("ws"))
-    sized = words.select("key", "ws", F.size("ws").alias("dl"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("key", "dl", F.explode("ws").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = corpus.select("n").scalar()
-    raw = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, cfg.bm25_epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-    return SparseIndex(postings, terms, corpus)
+    words = tx.composed(scratch.spread(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))), "text")
+    words = words.select("key", F.sort_array(tx.tokens(F.col("text"))).alias("ws"))
+    new = lambda k: (k == 0) | (F.get("ws", k) != F.get("ws", k - 1))
+    dl = F.size("ws")
+    starts = words.select("key", "ws", dl.alias("dl"), F.when(dl > 0, F.filter(F.sequence(F.lit(0), dl - 1), new)).alias("starts"))
+    runs = F.transform("starts", lambda a, k: F.struct(F.get("ws", a).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("dl")) - a).alias("tf")))
+    return starts.select("key", "dl", F.posexplode_outer(runs).alias("at", "p")).select("key", "dl", "p.term", F.col("p.tf").cast("long").alias("tf"), (F.coalesce("at", F.lit(0)) == 0).alias("head"))
+
+
+def index_of(posts: DataFrame, cfg: EngineConfig = EngineConfig()) -> SparseIndex:
+    """Statistics of written postings. A negative idf becomes epsilon times the vocabulary's mean idf; documents without words count in n."""
+    n, total = posts.where("head").agg(F.count(F.lit(1)), F.sum("dl")).first()
+    counted = posts.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = scratch.written(counted.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
+    mean = terms.agg(F.avg("raw")).first()[0] or 0.0
+    idf = F.when(F.col("raw") < 0, cfg.bm25_epsilon * mean).otherwise(F.col("raw"))
+    return SparseIndex(posts, terms.select("term", "df", idf.alias("idf")), n, float(total or 0) / max(1, n))
+
+
+def build(docs: DataFrame, key: str, text: str, cfg: EngineConfig = EngineConfig()) -> SparseIndex:
+    """Index of documents: they are read and cut into words once, and their postings written."""
+    return index_of(scratch.written(postings(docs, key, text), "postings"), cfg)
 
 
 def ranked(df: DataFrame, by: str, score: Column, key: Column, k: int, name: str = "rank") -> DataFrame:
@@ -47,12 +65,12 @@ def search(index: SparseIndex, queries: DataFrame, query_id: str, text: str, lim
     """(query_id, key, score, rank): the best `limit` documents of each query, of those with a score over 0.
 
     A word that a query holds twice counts twice. Only terms of queries are scored; nothing else of the
-    postings leaves the join.
+    postings leaves the join. Which side is broadcast, if any, is left to the sizes met at run time.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tx.tokens(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = asked.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    avgdl = index.corpus.select("avgdl").scalar()
+    asked = tx.composed(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text")), "text")
+    asked = asked.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weights = index.terms.join(asked, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
     tf = F.col("tf")
-    part = F.col("w") * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / avgdl))
+    part = F.col("w") * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.lit(index.avgdl)))
     scores = index.postings.join(weights, "term").groupBy("query_id", "key").agg(F.sum(part).alias("score")).withColumn("score", F.round("score", 6))
-    return ranked(scores, "query_id", F.col("score"), F.col("key"), limit).where(F.col("score") > 0)
+    return ranked(scores.where(F.col("score") > 0), "query_id", F.col("score"), F.col("key"), limit)

@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 
 from lodestone.config import DIFFICULTIES, EngineConfig
 from lodestone.functions import text as tx
-from lodestone.operators import answers, bank, chunker, dense, fusion, grounding, pages, records, router, sparse
-from lodestone.sources import files
+from lodestone.operators import answers, bank, chunker, dense, fusion, grounding, pages, records, router, similar, sparse
+from lodestone.sources import files, scratch
 from lodestone.sources.store import new_only, without
 from lodestone.streaming import rollup
 
@@ -29,9 +29,13 @@ SQL: dict[str, str] = {}
 SQL_SPACE = tx.SPACE.replace("\\x1c", "\\x{1c}").replace("\\x20", "\\x{20}")
 
 
+#: Folds that the tables can need, for SQL; the engine's own are complete.
+SQL_FOLDS = {"ß": "ss", "ſ": "s", "ς": "σ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def sql_fold(c: str) -> str:
     out = f"lower(translate(regexp_replace(coalesce({c}, ''), '{tx.ARABIC_MARKS}', '', 'g'), '{tx.ARABIC_FROM}', '{tx.ARABIC_TO}'))"
-    for a, b in tx.FOLDS.items():
+    for a, b in SQL_FOLDS.items():
         out = f"replace({out}, '{a}', '{b}')"
     return out
 
@@ -60,16 +64,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BM25 = f"""
-toks as (select doc_id as key, {sql_tokens("text")} as ws from documents),
-st as (select count(*) as n, avg(len(ws)) as avgdl from toks),
-po as (select key, dl, term, count(*) as tf from (select key, len(ws) as dl, unnest(ws) as term from toks) group by all),
-ra as (select term, count(*) as df, ln((select n from st) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from po group by term),
-te as (select term, df, case when raw < 0 then {CFG.bm25_epsilon} * (select avg(raw) from ra) else raw end as idf from ra),
-qt as (select query_id, term, count(*) as qtf from (select item_id as query_id, unnest({sql_tokens("text")}) as term from benchmark) group by all),
+def bm25_sql(asked: str = "select item_id as query_id, text from benchmark", limit: int = CFG.overfetch * CFG.vector_k) -> str:
+    """Common tables of the index, and `sparse`: the best documents of each query asked."""
+    return f"""
+toks as materialized (select doc_id as key, {sql_tokens("text")} as ws from documents),
+st as materialized (select count(*) as n, avg(len(ws)) as avgdl from toks),
+po as materialized (select key, dl, term, count(*) as tf from (select key, len(ws) as dl, unnest(ws) as term from toks) group by all),
+ra as materialized (select term, count(*) as df, ln((select n from st) - count(*) + 0.5) - ln(count(*) + 0.5) as raw from po group by term),
+me as materialized (select avg(raw) as mean from ra),
+te as materialized (select term, df, case when raw < 0 then {CFG.bm25_epsilon} * mean else raw end as idf from ra cross join me),
+qt as (select query_id, term, count(*) as qtf from (select query_id, unnest({sql_tokens("text")}) as term from ({asked})) group by all),
 sc as (select query_id, key, round(sum(qtf * idf * tf * {CFG.bm25_k1 + 1} / (tf + {CFG.bm25_k1} * (1 - {CFG.bm25_b} + {CFG.bm25_b} * dl / (select avgdl from st)))), 6) as score from qt join te using (term) join po using (term) group by query_id, key),
-sparse as (select * from (select *, row_number() over (partition by query_id order by score desc, key) as rank from sc) where rank <= {CFG.overfetch * CFG.vector_k} and score > 0)
+sparse as (select * from (select *, row_number() over (partition by query_id order by score desc, key) as rank from sc where score > 0) where rank <= {limit})
 """
+
+
+BM25 = bm25_sql()
 DENSE = f"""
 dense as (select * from (select *, row_number() over (partition by query_id order by score desc, key) as rank from (
   select q.item_id as query_id, v.vec_id as key, round(greatest(0, least(1, list_dot_product(v.embedding::double[], e.embedding::double[]))), 6) as score
@@ -101,7 +111,7 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select doc_id, len(ws)::int as n_tokens, len(list_distinct(ws))::int as n_distinct from (select doc_id, {sql_tokens('text')} as ws from documents)")
 def tokenize_documents(spark, d):
     ws = tx.tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", ws.alias("ws")).select("doc_id", F.size("ws").alias("n_tokens"), F.size(F.array_distinct("ws")).alias("n_distinct"))
+    return scratch.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", ws.alias("ws")).select("doc_id", F.size("ws").alias("n_tokens"), F.size(F.array_distinct("ws")).alias("n_distinct"))
 
 
 @query("select doc_id, substr(sha256(doc_id || '||0||' || substr(coalesce(text, ''), 1, 200)), 1, 20) as chunk_id, 'review_' || substr(sha256(" + sql_fold("source") + "), 1, 16) as review_id from documents")
@@ -168,8 +178,9 @@ coalesce(threshold, {CFG.vector_threshold})::double as threshold from k"""
 )
 def route_decision(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
-    hits = lambda t: t.select("query_id", "key", "score")
-    return router.route(asked, hits(_dense(spark, d)), hits(_fused(spark, d)), CFG).select("query_id", "route", "confidence", "threshold")
+    near = scratch.written(_dense(spark, d).select("query_id", "key", "score"), "dense")  # read by the fusion and as hits of the bank
+    fused = fusion.fuse(near, _sparse(spark, d), CFG.vector_k, CFG).select("query_id", "key", "score")
+    return router.route(asked, near, fused, CFG).select("query_id", "route", "confidence", "threshold")
 
 
 @query(f"with {DENSE}, b as (select query_id, max(score) as best from dense group by 1) select query_id, best, round(case when best >= {CFG.vector_threshold} then {CFG.vector_threshold} else greatest({CFG.vector_threshold * CFG.adaptive_ratio}, least({CFG.vector_threshold}, best * 0.97)) end, 6)::double as threshold from b")
@@ -189,6 +200,38 @@ def paraphrase_collapse(spark, d):
     return fusion.collapse(rows, "qa_id", "row_kind")
 
 
+PHRASED = "select query_id || '#' || pos as query_id, text from (select item_id as query_id, 0 as pos, text from benchmark union all select item_id, 1, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') from benchmark union all select item_id, 2, array_to_string(list_slice(string_split(text, ' '), 9, 100000000), ' ') from benchmark)"
+
+
+@query(
+    f"""with {bm25_sql(PHRASED, CFG.vector_k)},
+r as (select split_part(query_id, '#', 1)::bigint as query_id, key, round(sum(1.0::double / ({CFG.rrf_k} + rank)), 9) as rrf, max(score) as score from sparse group by 1, 2)
+select query_id, key, rrf, score, rank::int as rank from (select *, row_number() over (partition by query_id order by rrf desc, score desc, key) as rank from r) where rank <= {CFG.vector_k}"""
+)
+def rrf_phrasings(spark, d):
+    """Each passage searched whole, by its first eight words and by the rest, fused."""
+    words = F.split("text", " ")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array("text", F.array_join(F.slice(words, 1, 8), " "), F.array_join(F.slice(words, 9, 100_000_000), " "))).alias("pos", "text"))
+    numbered = asked.withColumn("phrasing", F.concat_ws("#", "query_id", "pos"))
+    index = sparse.build(table(spark, d, "documents"), "doc_id", "text", CFG)
+    hits = sparse.search(index, numbered, "phrasing", "text", CFG.vector_k, CFG)
+    per = hits.select(F.substring_index("query_id", "#", 1).cast("long").alias("query_id"), "key", "rank", "score")
+    return fusion.reciprocal_ranks(per, CFG.vector_k, CFG)
+
+
+@query(
+    f"""with t as materialized (select doc_id, list_sort(list_distinct({sql_tokens('text')})) as w from documents),
+s as materialized (select doc_id, w, min(doc_id) over (partition by w) as same_as from t),
+r as materialized (select doc_id, w, len(w) as n from s where doc_id = same_as and len(w) > 0),
+e as materialized (select doc_id, n, unnest(w) as word from r),
+p as (select a.doc_id as x, any_value(a.n + b.n) as total, count(*) as i from e a join e b on a.word = b.word and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by a.doc_id, b.doc_id),
+c as (select x, count(*) as n from p where 100 * i >= 90 * (total - i) group by x)
+select s.doc_id, s.same_as, coalesce(c.n, 0) as n_links from s left join c on c.x = s.same_as"""
+)
+def near_duplicate_docs(spark, d):
+    return similar.near_duplicates(table(spark, d, "documents"), "doc_id", "text", CFG).withColumnRenamed("key", "doc_id")
+
+
 @query()
 def distinct_answers(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
@@ -209,7 +252,7 @@ def evidence_exact_match(spark, d):
     # a document can hold a passage only if it holds its first three words in sequence: an equi-join finds those
     trigrams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 2)), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1), F.get(w, i + 2)))
     q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"), tx.grounding_tokens(F.col("text")).alias("w")).where(F.size("w") >= CFG.min_evidence_tokens).select("item_id", "quote", F.concat_ws(" ", F.slice("w", 1, 3)).alias("t"))
-    docs = table(spark, d, "documents").select("doc_id", "text", tx.grounding_tokens(F.col("text")).alias("w"))
+    docs = scratch.spread(table(spark, d, "documents").select("doc_id", "text")).withColumn("w", tx.grounding_tokens(F.col("text")))
     places = docs.select("doc_id", F.explode(F.array_distinct(trigrams(F.col("w")))).alias("t")).join(q.select("t").distinct(), "t", "left_semi")
     pairs = places.join(q, "t").select("item_id", "quote", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     return pairs.where(grounding.holds(F.col("text"), F.col("quote"))).select("item_id", "doc_id")
@@ -255,10 +298,10 @@ TYPE_SQL = "case doc_id % 4 when 0 then 'factual' when 1 then 'multi_hop' when 2
 
 
 def _bank(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled documents as bank entries."""
+    """Labelled documents as bank entries: the first line asks, the rest answers."""
     kind = F.get(F.array(*map(F.lit, ("factual", "multi_hop", "critical", "causal"))), (F.col("doc_id") % 4).cast("int"))
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    return rows.select(F.col("doc_id").alias("qa_id"), kind.alias("question_type"), F.when(F.col("quality") == 1, "basic").otherwise("advanced").alias("difficulty"), F.col("source").alias("doc_name"), F.col("source").alias("doc_id"), F.lit(1).alias("page_start"), F.substring("text", 1, 80).alias("question"), F.substring("text", 81, 200).alias("answer"), F.array("lang").alias("keywords"))
+    return rows.select(F.col("doc_id").alias("qa_id"), kind.alias("question_type"), F.when(F.col("quality") == 1, "basic").otherwise("advanced").alias("difficulty"), F.col("source").alias("doc_name"), F.col("source").alias("doc_id"), F.lit(1).alias("page_start"), F.substring_index("text", "\n", 1).alias("question"), F.expr("substring(text, length(substring_index(text, '\n', 1)) + 2)").alias("answer"), F.array("lang").alias("keywords"))
 
 
 @query(
@@ -270,7 +313,7 @@ def bank_summary(spark, d):
 
 
 @query(
-    f"""with b as (select doc_id as qa_id, {TYPE_SQL} as t, source, lang, substr(text, 1, 80) as question, substr(text, 81, 200) as answer from labels join documents using (doc_id))
+    f"""with b as (select doc_id as qa_id, {TYPE_SQL} as t, source, lang, split_part(text, chr(10), 1) as question, substr(text, length(split_part(text, chr(10), 1)) + 2) as answer from labels join documents using (doc_id))
 select qa_id, source as doc_name, t as question_type from b where t in ('factual', 'critical') and (contains({sql_fold("question")}, 'th') or contains({sql_fold("answer")}, 'th') or contains(lang, 'th')) order by {sql_fold("source")}, {sql_fold("question")}, qa_id limit 50 offset 10"""
 )
 def bank_page(spark, d):
@@ -283,10 +326,26 @@ def zero_filled_distribution(spark, d):
     return bank.zero_filled(rows, "difficulty", DIFFICULTIES)
 
 
-@query()
+def sql_plain(c: str) -> str:
+    out = f"translate({c}, '{''.join(k for k in tx.PLAIN_ONE)}{tx.INVISIBLE}', '{''.join(tx.PLAIN_ONE.values()).replace(chr(39), chr(39) * 2)}')"
+    for a, b in (*tx.PLAIN_MORE.items(), ("\r\n", "\n"), ("\r", "\n")):
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+SQL_INNER = SQL_SPACE[1:-1]
+
+
+@query(
+    f"""with l as materialized (select source as doc_id, doc_id as page, list_filter(list_transform(string_split({sql_plain("'Annual report 12' || chr(10) || coalesce(text, '')")}, chr(10)), x -> regexp_replace(x, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')), x -> x <> '') as l from documents),
+k as (select distinct doc_id, page, lower(trim(regexp_replace(regexp_replace(regexp_replace(line, '\\p{{Nd}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}_{SQL_INNER}]+', ' ', 'g'), '{SQL_SPACE}+', ' ', 'g'))) as key
+  from (select doc_id, page, unnest(list_concat(l[1:{pages.EDGE}], l[greatest(1, len(l) - {pages.EDGE} + 1):])) as line from l)),
+o as (select doc_id, count(distinct page) as pages_of from l group by doc_id)
+select k.doc_id, key, count(distinct page) as n_pages from k join o on o.doc_id is not distinct from k.doc_id where length(key) >= 3 and pages_of >= {pages.LEAST_PAGES} group by k.doc_id, key, pages_of having count(distinct page) >= greatest(2, ceil(round({pages.REPEAT} * pages_of, 9)))"""
+)
 def running_lines(spark, d):
-    docs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.concat(F.lit("Annual report 12\n"), "text").alias("text"))
-    return pages.running_lines(docs)
+    docs = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), F.concat(F.lit("Annual report 12\n"), tx.text_or_empty(F.col("text"))).alias("text"))
+    return pages.running_lines(scratch.spread(docs))
 
 
 @query(
@@ -309,11 +368,10 @@ def metrics_summary(spark, d):
     return records.metrics_summary(events, "ts", "event_id")
 
 
-@query("select doc_id, 'new' as state from documents where doc_id % 3 = 0 union all select doc_id, 'old' from documents where doc_id % 3 <> 0 and doc_id % 2 = 0")
+@query("select doc_id, 'new' as state from labels union all select doc_id, 'old' from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def upsert_antijoin(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    new = docs.where("doc_id % 3 = 0").withColumn("state", F.lit("new"))
-    old = docs.where("doc_id % 2 = 0").withColumn("state", F.lit("old"))
+    new = table(spark, d, "labels").select("doc_id").withColumn("state", F.lit("new"))
+    old = table(spark, d, "documents").select("doc_id").withColumn("state", F.lit("old"))
     return without(old, new, "doc_id").unionByName(new)
 
 
@@ -342,10 +400,13 @@ def uncertainty_expr(spark, d):
     return table(spark, d, "events").select("event_id", F.round(tx.uncertainty((F.col("event_id") % 101) / 100.0, g, F.col("event_type") != "error"), 6).alias("uncertainty"))
 
 
-@query()
+@query(
+    f"""select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(coalesce(text, '') || ' [1][2] and then and [2].' || turn, '[ \\t]{{2,}}', ' ', 'g'), '[ \\t]+([.,;:!?)\\]])', '\\1', 'g'), '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g') as answer, '3,1' as cited from conversations"""
+)
 def citation_remap(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" [3, 1] and [9] then [1-3] and [1]."), F.col("turn")).alias("answer"), F.lit(4).alias("n"))
-    return answers.remap_citations(rows, "answer", "n").select("conv_id", "turn", "answer", "cited")
+    # no turn of the table holds a bracket; markers of all kinds are added
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.concat(tx.text_or_empty(F.col("text")), F.lit(" [3, 1] and [9] then [1-3] and [1]."), F.col("turn")).alias("answer"), F.lit(4).alias("n"))
+    return answers.remap_citations(rows, "answer", "n").select("conv_id", "turn", "answer", F.concat_ws(",", "cited").alias("cited"))
 
 
 @query("select conv_id as query_id, avg((turn % 3 <> 0)::int)::double as groundedness, count(*) filter (turn % 3 = 0) as n_unsupported from conversations where trim(text) <> '' group by conv_id")
@@ -354,9 +415,9 @@ def groundedness_score(spark, d):
     return answers.groundedness(claims).select("query_id", "groundedness", F.size("unsupported").cast("long").alias("n_unsupported"))
 
 
-@query(f"select doc_id, regexp_replace({sql_one_space('substr(text, 1, 90)')}, '[.:;,]+$', '') || '?' as question from documents where {sql_one_space('substr(text, 1, 90)')} <> ''")
+@query(f"select doc_id, regexp_replace({sql_one_space('text')}, '[.:;,]+$', '') || '?' as question from documents where regexp_replace({sql_one_space('text')}, '[.:;,]+$', '') <> ''")
 def clean_questions(spark, d):
-    return table(spark, d, "documents").select("doc_id", tx.clean_question(F.substring("text", 1, 90)).alias("question")).where("question <> ''")
+    return scratch.spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", tx.clean_question(F.col("text")).alias("question")).where("question <> ''")
 
 
 @query()
