@@ -337,7 +337,7 @@ SQL_INNER = SQL_SPACE[1:-1]
 
 
 @query(
-    f"""with l as materialized (select source as doc_id, doc_id as page, list_filter(list_transform(string_split({sql_plain("'Annual report 12' || chr(10) || coalesce(text, '')")}, chr(10)), x -> regexp_replace(x, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')), x -> x <> '') as l from documents),
+    f"""with l as materialized (select source as doc_id, doc_id as page, list_filter(list_transform(string_split({sql_plain("'Annual report 12' || chr(10) || coalesce(text, '')")}, chr(10)), lambda x: regexp_replace(x, '^{SQL_SPACE}+|{SQL_SPACE}+$', '', 'g')), lambda x: x <> '') as l from documents),
 k as (select distinct doc_id, page, lower(trim(regexp_replace(regexp_replace(regexp_replace(line, '\\p{{Nd}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}_{SQL_INNER}]+', ' ', 'g'), '{SQL_SPACE}+', ' ', 'g'))) as key
   from (select doc_id, page, unnest(list_concat(l[1:{pages.EDGE}], l[greatest(1, len(l) - {pages.EDGE} + 1):])) as line from l)),
 o as (select doc_id, count(distinct page) as pages_of from l group by doc_id)
