@@ -18,7 +18,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 _POWERS: dict[int, np.ndarray] = {}
 #: Powers kept by a worker; more are made anew when asked for, as workers outlive tasks.
-KEPT_POWERS = 1 << 21
+KEPT_POWERS = 1 << 20
 
 
 def release() -> None:
@@ -66,6 +66,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """Hash of data[start:end] for arrays of bounds: eight bytes at a time go through the finaliser, so it isn't linear in them."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    left, at = np.arange(len(size)), start
+    done = 0
+    while len(left):
+        eight = np.ascontiguousarray(padded[at[:, None] + np.arange(8)]).view("<u8")[:, 0]
+        short = np.uint64(8) * (np.uint64(8) - np.minimum(size[left] - done, 8).astype(np.uint64))
+        out[left] = mix((out[left] ^ (eight << short)) + np.uint64(0xC2B2AE3D27D4EB4F))
+        done += 8
+        left = left[size[left] > done]
+        at = start[left] + done
+    return out
+
+
 def prefix_hash(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Prefix sums of code(byte) * BASE**position; see span_hash."""
     out = np.zeros(len(data) + 1, np.uint64)

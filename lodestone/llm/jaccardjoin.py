@@ -1,4 +1,4 @@
-"""Exact Jaccard join of documents as sets of word n-grams, by pivots and triangle-inequality windows.
+"""Jaccard join of documents as sets of word n-grams, by pivots and triangle-inequality windows.
 
 Jaccard distance is a metric, but almost all pairs of unrelated documents are at distance 1, where a
 document as pivot says nothing. So the outermost pivots are single n-grams: a document is nearest to the
@@ -16,9 +16,12 @@ their distances to the pivot differ by at most r. Documents in no cell form a ne
 recursively, until a region fits in memory; there the same windows steer an exact search. Regions that
 pivots hardly split are joined block by block. Equal sets are one node throughout.
 
-Sizes: sets travel only to regions that hold a candidate; regions over REGION_TOKENS are split as above,
-so that no task gathers one. The list of frequent n-grams, which only steers the order, is bounded by the
-mean size of a set over FREQUENT.
+Sizes: sets travel only to regions that hold a candidate; regions over REGION_TOKENS (some hundred short
+texts) are split as above, so that no task gathers one. The list of frequent n-grams, which only steers
+the order, is bounded by the mean size of a set over FREQUENT.
+
+Words, n-grams and sets are compared by 64-bit hashes that aren't linear in their bytes; apart from their
+collisions the join is exact. Of N different sets two are taken for one with a probability of N * N / 2**65.
 
 Cases: null or empty texts, and texts without words, have no n-grams and link to nothing; texts of fewer
 words than n are one n-gram; rows that repeat an id are kept; a null id counts as the smallest; other
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, release, span_hash
+from lodestone.llm.bytekit import mix, pieces, raw, release, word_hash
 from lodestone.llm.components import components
 from lodestone.llm.store import drop, join_small, small_batches, written
 
@@ -47,12 +50,15 @@ FREQUENT = 0.001
 ASKED_ROWS = 1_000_000
 #: Share of a set's n-grams that must be found shared among its first ones.
 SHARED = 0.2
-#: Tokens of a region that one task joins, and pivots of a larger one.
-REGION_TOKENS = 1_000_000
+#: Weight of a region that is joined at once (its n-grams, and SET_WEIGHT for each set), pivots of a larger one, and weight of what one group of regions holds.
+REGION_TOKENS, SET_WEIGHT = 1 << 16, 100
 PIVOTS = 8
+BIN_TOKENS = 1_000_000
 UNIT = 12 << 20
 LEAST_BLOCKS, BLOCK_BYTES = 128, 16 << 20
-CODES = byte_codes(201, fold_case=True)
+WORD_KEY = 0x51ED270B9A3C6F1D
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 FACTORS = np.random.default_rng(202).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,7 +75,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple
     left[inner] = False
     right[offsets[1:][np.diff(offsets) > 0] - 1] = False
     start, end = np.flatnonzero(text & ~left), np.flatnonzero(text & ~right) + 1
-    word = mix(span_hash(prefix_hash(data, CODES), start, end))
+    word = word_hash(FOLD[data], start, end, WORD_KEY)
     row = np.searchsorted(offsets, start, "right") - 1
     count = np.bincount(row, minlength=rows)
     first = np.concatenate([[0], np.cumsum(count)])
@@ -387,9 +393,9 @@ EDGES = "a bigint, b bigint"
 
 def with_bins(regions: DataFrame, most: int) -> DataFrame:
     """regions (region, node, n) with the bin of each region that fits in a task; larger ones have none."""
-    sizes = written(regions.groupBy("region").agg(F.sum("n").alias("size")), "regions")
+    sizes = written(regions.groupBy("region").agg(F.sum(F.col("n") + SET_WEIGHT).alias("size")), "regions")
     total = sizes.agg(F.sum(F.when(F.col("size") <= most, F.col("size")))).first()[0] or 0
-    bins = 64 + int(4 * total // most)
+    bins = 64 + int(4 * total // BIN_TOKENS)
     return regions.join(sizes, "region").withColumn("bin", F.when(F.col("size") <= most, F.pmod(F.xxhash64("region"), F.lit(bins))).cast("int"))
 
 
@@ -400,7 +406,7 @@ def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> Data
     turn, before = 0, None
     part = lambda c, salt, parts: F.pmod(F.xxhash64(c, F.lit(salt)), parts).cast("int")
     while True:
-        sizes = written(sets.groupBy("region").agg(F.sum("n").alias("size")), "large")
+        sizes = written(sets.groupBy("region").agg(F.sum(F.col("n") + SET_WEIGHT).alias("size")), "large")
         if not sizes.limit(1).count():
             break
         plan = sizes.withColumn("was", F.lit(None).cast("long")) if before is None else sizes.join(before, "region", "left")
@@ -434,7 +440,7 @@ def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> Data
             home = each.where("linked").groupBy("node").agg(F.min(F.struct("distance", F.col("pivot").alias("cell"), "n")).alias("h")).select("node", "h.*")
             core = home.join(rim.select("cell").distinct(), "cell", "left_semi")
             both = written(rim.withColumn("inside", F.lit(False)).unionByName(core.withColumn("inside", F.lit(True))), "cells")
-            shape = both.groupBy("cell").agg(*(F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(F.col("inside") == i, F.col("n"))) / most)).cast("int").alias(c) for i, c in ((True, "cores"), (False, "rims"))))
+            shape = both.groupBy("cell").agg(*(F.greatest(F.lit(1), F.ceil(2 * F.sum(F.when(F.col("inside") == i, F.col("n") + SET_WEIGHT)) / most)).cast("int").alias(c) for i, c in ((True, "cores"), (False, "rims"))))
             grid = both.join(shape, "cell").join(sets.select("node", "tokens"), "node")
             own = part("node", 9, F.when(F.col("inside"), F.col("cores")).otherwise(F.col("rims")))
             grid = grid.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("rims")).otherwise(F.col("cores")) - 1)))
@@ -453,7 +459,8 @@ def split_regions(sets: DataFrame, percent: int, most: int, pivots: int) -> Data
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS, percent: int = PERCENT, frequent: float = FREQUENT, region_tokens: int = REGION_TOKENS, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest id that links reach from each document."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    meta = written(small_batches(rows).mapInArrow(measure(words, frequent), META), "sizes")
+    rows = small_batches(rows)
+    meta = written(rows.mapInArrow(measure(words, frequent), META), "sizes")
     docs_of = meta.where(F.col("token").isNull()).select("id", "n", "node")
     facts = docs_of.agg(F.count(F.lit(1)), F.sum("n")).first()
     count, tokens = facts[0] or 0, facts[1] or 0

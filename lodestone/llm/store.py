@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources.scratch import spread
+
 #: Broadcast sides are counted first; beyond this many rows the join is left to a shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -16,17 +18,20 @@ BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, once its session hands rows to Python in batches of BATCH_ROWS at most."""
+    """df, once its session hands rows to Python in batches of BATCH_ROWS at most; a table of a few megabytes is dealt over all cores."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
         df.sparkSession.conf.set(key, str(BATCH_ROWS))
-    return df
+    return spread(df)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is named (tests), a temporary one becomes it."""
+    """The cluster's checkpoint folder; a local session without one (tests) gets a temporary one, a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

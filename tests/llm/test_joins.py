@@ -176,3 +176,31 @@ def test_nearest_neighbours_of_repeated_ids(spark):
         assert all(abs(s - far[k]) < 1e-9 for _, k, s in own)
         hit += len({x[1] for x in own} & set(sorted(far, key=far.get)[:10]))
     assert hit >= 0.9 * 150
+
+
+def test_words_of_like_polynomials_stay_apart(spark):
+    """Two words whose bytes agree in every polynomial modulo 2**64: a Thue-Morse word and its complement."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one.upper())], "doc_id long, text string")
+    assert sorted(map(tuple, jaccardjoin.join_query(df).collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_word_hash_depends_on_all_bytes_and_the_length():
+    from lodestone.llm.bytekit import word_hash
+
+    words = [b"a" * k for k in range(1, 40)] + [b"a" * k + b"\0" for k in range(1, 20)] + [b"b" + b"a" * k for k in range(1, 40)] + [b"a" * k + b"b" for k in range(1, 40)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    start = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+    got = word_hash(data, start, start + np.array([len(w) for w in words]), 7)
+    assert len(set(got.tolist())) == len(set(words))
+    again = word_hash(np.frombuffer(b"xx" + b" ".join(words), np.uint8), start + 2, start + 2 + np.array([len(w) for w in words]), 7)
+    assert (got == again).all()
+
+
+def test_long_texts_and_extra_columns_are_joined(spark):
+    r = random.Random(1)
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(60_000))
+    near = long.replace("w17 ", "w18 ")
+    df = spark.createDataFrame([(3, long, 1, "x"), (1, near, 2, None), (2, "short one", 3, "y")], "doc_id long, text string, component_id int, n string")
+    assert {r.doc_id: r.component_id for r in jaccardjoin.join(df).collect()} == {1: 1, 3: 1, 2: 2}
