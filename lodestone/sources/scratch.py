@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a table for each core up to which its rows may all stand in one split.
-SPLIT = 16 << 20
+SPLIT = 4 << 20
 
 
 def folder(spark: SparkSession) -> str:
