@@ -42,6 +42,7 @@ class EngineConfig:
     hybrid: bool = True
     hybrid_ceiling: float = 0.85
     groundedness_min: float = 1.0
+    skip_audit: bool = True
     skip_audit_from: float = 0.85
     bm25_k1: float = 1.5
     bm25_b: float = 0.75

@@ -114,9 +114,10 @@ def sources(outcomes: DataFrame, pairs: DataFrame, chunks: DataFrame) -> DataFra
 
 
 def groundedness(claims: DataFrame) -> DataFrame:
-    """(query_id, groundedness, unsupported) of audited claims (query_id, claim, verdict); blank claims don't count."""
-    real = claims.where(tx.strip(tx.text_or_empty(F.col("claim"))) != "").withColumn("ok", F.upper(tx.strip(tx.text_or_empty(F.col("verdict")))) == "SUPPORTED")
-    return real.groupBy("query_id").agg(F.avg(F.col("ok").cast("double")).alias("groundedness"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("claim")))).alias("unsupported"))
+    """(query_id, groundedness, unsupported) of audited claims (query_id, claim, verdict); blank claims don't count, and an audit without a claim gives 1."""
+    real = tx.strip(tx.text_or_empty(F.col("claim"))) != ""
+    ok = F.when(real, F.upper(tx.strip(tx.text_or_empty(F.col("verdict")))) == "SUPPORTED")
+    return claims.withColumn("ok", ok).groupBy("query_id").agg(F.coalesce(F.avg(F.col("ok").cast("double")), F.lit(1.0)).alias("groundedness"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("claim")))).alias("unsupported"))
 
 
 def finish(drafts: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
@@ -140,6 +141,43 @@ def finish(drafts: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     return out.withColumn("uncertainty", F.round(tx.uncertainty(F.col("confidence"), F.col("groundedness"), F.col("answered")), 4))
 
 
+def citations(done: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, citations): records of the sources that an answer cites, numbered as in its text."""
+    cited = done.select("query_id", F.posexplode("cited").alias("at", "index"))
+    rows = cited.join(found, ["query_id", "index"]).withColumn("record", F.struct((F.col("at") + 1).alias("index"), "doc_name", "page_label", "quote", "section", "origin"))
+    return rows.groupBy("query_id").agg(F.array_sort(F.collect_list("record")).alias("citations"))
+
+
+def near_misses(outcomes: DataFrame, pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, near_misses): for refused queries, the questions and passages that came closest, up to three of each."""
+    refused = outcomes.where("route = 'refused'")
+    label = tx.page_label(F.col("page_start"), F.col("page_end"))
+    asked = refused.select("query_id", F.posexplode("qa_keys").alias("at", "qa_id")).join(pairs, "qa_id").select("query_id", F.lit(0).alias("side"), "at", F.concat(F.lit("Q: "), F.col("question"), F.lit(" — "), tx.citation(F.col("doc_name"), label)).alias("line"))
+    said = refused.select("query_id", F.posexplode("chunk_keys").alias("at", "chunk_id")).join(chunks, "chunk_id").select("query_id", F.lit(1).alias("side"), "at", F.concat(F.lit("Passage: "), tx.citation(F.col("doc_name"), label)).alias("line"))
+    lines = asked.unionByName(said).where("at < 3")
+    return lines.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("side", "at", "line"))), lambda x: x["line"]).alias("near_misses"))
+
+
+def notes(cfg: EngineConfig = EngineConfig()) -> Column:
+    """What a reader of a final answer should know, in order."""
+    none = F.array().cast("array<string>")
+    said = lambda when, *parts: F.when(when, F.array(F.concat(*parts))).otherwise(none)
+    share = F.format_string("%.0f%%", 100 * F.col("groundedness"))
+    uncited_ = F.transform(F.slice(uncited(F.col("answer")), 1, 3), lambda p: F.concat(F.lit("Uncited sentence: "), p))
+    unsupported = F.transform(F.slice(F.coalesce("unsupported", none), 1, 5), lambda c: F.concat(F.lit("Unsupported claim: "), c))
+    reason = F.col("refusal_reason")
+    return F.concat(
+        said(F.col("answered") & (F.size(F.coalesce("cited", F.array().cast("array<int>"))) == 0), F.lit("The answer cites no source.")),
+        said(F.col("answered") & (strip_sentinel(F.col("text")) != tx.strip(tx.text_or_empty(F.col("text")))), F.lit("Only part of the question is answered.")),
+        F.when(F.col("answered"), uncited_).otherwise(none),
+        said(F.col("answered") & may_skip_audit(cfg), F.lit("Not audited: a sure hit of the question bank.")),
+        said(F.coalesce(reason == "audit failed", F.lit(False)), F.lit("A draft could not be audited and is withheld.")),
+        said(F.coalesce(reason == "not grounded", F.lit(False)), F.lit("Of a draft only "), share, F.lit(" was supported; it is withheld.")),
+        F.when(F.coalesce(reason == "not grounded", F.lit(False)), unsupported).otherwise(none),
+        said(F.coalesce(~reason.isin("audit failed", "not grounded"), F.lit(False)), F.lit("Refused: "), reason),
+    )
+
+
 def may_skip_audit(cfg: EngineConfig = EngineConfig()) -> Column:
     """Whether an answer from the bank is sure enough to need no audit."""
-    return (F.col("route") == "question_bank") & (F.col("confidence") >= cfg.skip_audit_from)
+    return F.lit(cfg.skip_audit) & (F.col("route") == "question_bank") & (F.col("confidence") >= cfg.skip_audit_from)

@@ -77,9 +77,18 @@ def extraction_report(pairs: DataFrame) -> dict[str, DataFrame]:
     return {"totals": totals, "types": zero_filled(pairs, "question_type", QUESTION_TYPES), "difficulties": zero_filled(pairs, "difficulty", DIFFICULTIES), "documents": pairs.groupBy("doc_name").agg(F.count(F.lit(1)).alias("n"))}
 
 
+#: What an entry filed by hand has where nothing is given.
+MANUAL = {"question_type": "'factual'", "difficulty": "'basic'", "evidence": "cast(array() as array<string>)", "paraphrases": "cast(array() as array<string>)", "keywords": "cast(array() as array<string>)", "doc_id": "''", "doc_name": "''", "section": "''", "page_start": "0", "page_end": "0", "qa_id": "''", "chunk_id": "''"}
+
+
 def manual_pair(rows: DataFrame) -> DataFrame:
-    """Rows (question, answer, …) as bank entries filed by hand; blank questions or answers are dropped."""
-    doc = F.when(tx.strip(tx.text_or_empty(F.col("doc_id"))) == "", F.lit("manual")).otherwise(F.col("doc_id"))
-    out = rows.withColumn("question", tx.strip(tx.text_or_empty(F.col("question")))).withColumn("answer", tx.strip(tx.text_or_empty(F.col("answer")))).where("question <> '' and answer <> ''").withColumn("doc_id", doc)
+    """Rows (question, answer, …) as bank entries filed by hand; columns that are absent or null get defaults, blank questions or answers are dropped.
+
+    A row that names an entry keeps its id and its origin; a new one gets an id of its document and question.
+    """
+    out = rows.withColumns({c: F.coalesce(F.col(c), F.expr(v)) if c in rows.columns else F.expr(v) for c, v in MANUAL.items()})
+    out = out.withColumn("question", tx.strip(tx.text_or_empty(F.col("question")))).withColumn("answer", tx.strip(tx.text_or_empty(F.col("answer")))).where("question <> '' and answer <> ''")
+    out = out.withColumn("doc_id", F.when(tx.strip(F.col("doc_id")) == "", F.lit("manual")).otherwise(F.col("doc_id")))
     out = out.withColumn("doc_name", F.when(F.col("doc_id") == "manual", F.lit("Manual entries")).otherwise(F.col("doc_name")))
-    return out.withColumn("qa_id", tx.stable_id(F.lit("manual"), F.col("doc_id"), F.col("question"))).withColumn("chunk_id", F.lit(""))
+    new = tx.stable_id(F.lit("manual"), F.col("doc_id"), F.col("question"))
+    return out.withColumn("qa_id", F.when(F.col("qa_id") == "", new).otherwise(F.col("qa_id")))

@@ -31,21 +31,79 @@ def review_id(query: Column) -> Column:
     return F.concat(F.lit("review_"), F.substring(F.sha2(tx.casefold(tx.strip(tx.text_or_empty(query))), 256), 1, 16))
 
 
-def merge_reviews(existing: DataFrame, fresh: DataFrame, drafts: tuple[str, ...] = ("question", "answer")) -> DataFrame:
-    """Reviews after flagging: a flagged query that is there keeps its drafts and creation time and takes the rest."""
+#: Columns of a review that an editor drafts.
+DRAFTS = ("question", "answer", "question_type", "difficulty", "keywords", "paraphrases", "evidence")
+
+
+def _given(c: Column, kind: str) -> Column:
+    """Whether a value is there and not empty."""
+    return F.coalesce(F.size(c) > 0 if kind.startswith("array") else c != "", F.lit(False)) if kind.startswith(("array", "string")) else c.isNotNull()
+
+
+def merge_reviews(existing: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Reviews after flagging: a flagged query that is there takes what is new, but keeps its creation time and, once edited, its drafts.
+
+    A review is edited once it was updated after its creation (without an update column: always).
+    """
+    kinds = dict(existing.dtypes)
     old = existing.select("review_id", *(F.col(c).alias(f"old_{c}") for c in existing.columns if c != "review_id"))
     both = fresh.withColumn("new", F.lit(True)).join(old, "review_id", "full")
-    out = []
+    edited = F.coalesce(F.col("old_updated_at") != F.col("old_created_at"), F.lit(False)) if "updated_at" in kinds else F.lit(True)
+    out = [F.col("review_id")]
     for c in existing.columns:
         if c == "review_id":
-            out.append(F.col(c))
-        elif c in (*drafts, "created_at"):
-            out.append(F.coalesce(f"old_{c}", c).alias(c))
-        else:
-            out.append(F.when(F.col("new"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c))
+            continue
+        was, now = F.col(f"old_{c}"), F.col(c)
+        keep = F.col("new").isNull()
+        if c == "created_at":
+            keep = was.isNotNull()
+        elif c in DRAFTS:
+            keep = keep | edited & _given(was, kinds[c])
+            if c in ("question_type", "difficulty", "keywords", "paraphrases"):
+                keep = keep | _given(was, kinds[c]) & ~_given(now, kinds[c])
+        elif c == "source_qa_id":
+            keep = keep | _given(was, kinds[c]) & ~_given(now, kinds[c])
+        out.append(F.when(keep, was).otherwise(now).alias(c))
     return both.select(*out)
 
 
+def flagged(answered: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Reviews of answers (query, answer, route, citations, qa_keys); the first matched pair gives what is known of the origin. Blank queries are left out."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    quotes = F.filter(F.transform(F.col("citations"), lambda c: tx.strip(tx.text_or_empty(c["quote"]))), lambda q: q != "")
+    rows = answered.where(tx.strip(tx.text_or_empty(F.col("query"))) != "").select(
+        review_id(F.col("query")).alias("review_id"), tx.strip(F.col("query")).alias("query"), tx.strip(F.col("query")).alias("question"), tx.strip(tx.text_or_empty(F.col("answer"))).alias("answer"), "route",
+        F.coalesce(quotes, F.array().cast("array<string>")).alias("evidence"), now.alias("created_at"), now.alias("updated_at"), F.get("qa_keys", F.lit(0)).alias("source_qa_id"),
+    )
+    first = F.row_number().over(Window.partitionBy("review_id").orderBy("query", "answer"))
+    rows = rows.withColumn("__n", first).where("__n = 1").drop("__n")
+    origin = pairs.select(F.col("qa_id").alias("source_qa_id"), "chunk_id", "doc_id", "doc_name", "section", "question_type", "difficulty", "page_start", "page_end", "paraphrases", "keywords")
+    both = rows.join(origin, "source_qa_id", "left")
+    given = {"chunk_id": "", "doc_id": "manual", "doc_name": "Manual entries", "section": "", "question_type": "factual", "difficulty": "basic", "page_start": 0, "page_end": 0, "source_qa_id": ""}
+    both = both.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in given.items()})
+    return both.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("paraphrases", "keywords")})
+
+
+def edited(reviews: DataFrame, edits: DataFrame) -> DataFrame:
+    """Reviews with the columns that edits (review_id, …) give, where they aren't null, and a new update time."""
+    changed = [c for c in edits.columns if c in reviews.columns and c not in ("review_id", "created_at", "updated_at")]
+    new = edits.select("review_id", F.lit(True).alias("__new"), *(F.col(c).alias(f"__{c}") for c in changed))
+    both = reviews.join(new, "review_id", "left")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    value = lambda c: F.coalesce(f"__{c}", c) if c in changed else F.when(F.col("__new"), now).otherwise(F.col(c)) if c == "updated_at" else F.col(c)
+    return both.select(*(value(c).alias(c) for c in reviews.columns))
+
+
+def append(events: DataFrame, path: str) -> None:
+    """Append events to JSON lines; what others append at the same time stays."""
+    events.write.mode("append").json(path)
+
+
+def search_events(answered: DataFrame, elapsed: Column) -> DataFrame:
+    """Metrics events of answers."""
+    return answered.select(F.unix_micros(F.current_timestamp()).cast("double").alias("us"), F.lit("search").alias("kind"), "route", "answered", "confidence", "groundedness", elapsed.cast("double").alias("elapsed")).withColumn("ts", F.col("us") / 1e6).drop("us")
+
+
 def with_provenance(reviews: DataFrame, known_docs: DataFrame) -> DataFrame:
     """Reviews of documents that are gone, filed by hand with their provenance cleared."""
     known = known_docs.select("doc_id").distinct().withColumn("there", F.lit(True))

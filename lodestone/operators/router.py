@@ -66,8 +66,8 @@ def gated(hits: DataFrame, gate: DataFrame | None) -> DataFrame:
 def route(queries: DataFrame, question_hits: DataFrame, passage_hits: DataFrame, cfg: EngineConfig = EngineConfig(), gate: DataFrame | None = None) -> DataFrame:
     """(query_id, route, confidence, best_question, best_passage, threshold, qa_keys, chunk_keys) of every query.
 
-    question_hits and passage_hits: (query_id, key, score); each is read once. Refusals carry their three
-    nearest misses.
+    question_hits and passage_hits: (query_id, key, score); each is read once. Passages may have a place, which
+    then orders them instead of the score. Refusals carry their three nearest misses.
     """
     listed = lambda s: F.transform(F.array_sort(F.collect_list(s)), lambda x: x["key"])
     order = (-F.col("score")).alias("s")
@@ -80,11 +80,12 @@ def route(queries: DataFrame, question_hits: DataFrame, passage_hits: DataFrame,
         listed(F.when(F.col("accepted"), F.struct("gate_rank", order, "key"))).alias("qa"),
     )
     bar = adaptive_threshold(F.max("score").over(Window.partitionBy("query_id")), cfg)
+    turn = F.col("place").alias("s") if "place" in passage_hits.columns else order
     passages = passage_hits.withColumn("threshold", bar).groupBy("query_id").agg(
         F.max("score").alias("best_passage"),
-        nearest.alias("near_passage"),
+        F.slice(listed(F.struct(turn, "key")), 1, 3).alias("near_passage"),
         F.first("threshold").alias("threshold"),
-        listed(F.when(F.col("score") >= F.col("threshold"), F.struct(order, "key"))).alias("chunks"),
+        listed(F.when(F.col("score") >= F.col("threshold"), F.struct(turn, "key"))).alias("chunks"),
     )
     q = queries.select("query_id").join(questions, "query_id", "left").join(passages, "query_id", "left")
     one = F.coalesce(F.size("qa") > 0, F.lit(False))
@@ -113,7 +114,23 @@ def needs_split(query: Column) -> Column:
     return (F.length(query) >= 80) | query.rlike(r"(?i) and | و |[?;؛؟]")
 
 
-def distinct_phrasings(phrasings: DataFrame) -> DataFrame:
-    """(query_id, pos, text) without phrasings equal to an earlier one but for case."""
-    w = Window.partitionBy("query_id", tx.casefold(F.col("text"))).orderBy("pos")
+def distinct_phrasings(phrasings: DataFrame, by: list[str] | None = None, order="pos") -> DataFrame:
+    """phrasings without those equal to an earlier one of their group but for case."""
+    by = by or ["query_id"]
+    w = Window.partitionBy(*by, tx.casefold(F.col("text"))).orderBy(order)
     return phrasings.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def numbered(rows: DataFrame, column: str, most: int, by: list[str] | None = None) -> DataFrame:
+    """rows with the column numbered from 0 in its own order within each group, the first `most` of them."""
+    w = Window.partitionBy(*(by or ["query_id"])).orderBy(column)
+    return rows.withColumn(column, F.row_number().over(w) - 1).where(F.col(column) < most)
+
+
+def reranked(hits: DataFrame, orders: DataFrame) -> DataFrame:
+    """hits (query_id, key, place, …) in the order (query_id, order) that a model gave; keys it doesn't list go, and a query without a usable order stays as it was."""
+    place = F.array_position("order", F.col("key"))
+    both = hits.join(orders.select("query_id", "order"), "query_id", "left").withColumn("__at", F.coalesce(place, F.lit(0)))
+    usable = F.max("__at").over(Window.partitionBy("query_id")) > 0
+    both = both.withColumn("__usable", usable).where(~F.col("__usable") | (F.col("__at") > 0))
+    return both.withColumn("place", F.when(F.col("__usable"), F.col("__at")).otherwise(F.col("place"))).drop("order", "__at", "__usable")

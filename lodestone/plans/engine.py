@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +12,32 @@ from lodestone import models, schemas
 from lodestone.config import EngineConfig
 from lodestone.functions import text as tx
 from lodestone.operators import answers, bank, chunker, dense, fusion, grounding, pages, records, router, sparse
+from lodestone.sources import files, scratch
 from lodestone.sources.store import Store, new_only
 
 
+@dataclass(frozen=True)
+class Steps:
+    """Model-backed steps of a search; each is a plan over tables, and None leaves it out.
+
+    split: (query_id, query) -> (query_id, pos, text), parts of queries that may hold several questions;
+    expand: (query_id, pos, text) -> (query_id, pos, n, text), other phrasings of each part;
+    gate: (query_id, key, score, question) -> (query_id, keep, gate_confidence), see router.gated();
+    rerank: (query_id, key, score, place, text), (query_id, query) -> (query_id, order), keys best first.
+    A query without rows in what a step gives is one for which the step failed: it goes on as it was.
+    """
+
+    split: Callable[[DataFrame], DataFrame] | None = None
+    expand: Callable[[DataFrame], DataFrame] | None = None
+    gate: Callable[[DataFrame], DataFrame] | None = None
+    rerank: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+
 class Engine:
     """Tables in a store, and the plans over them. Every method takes and gives DataFrames."""
 
-    def __init__(self, spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig(), embedder: models.Embedder | None = None):
-        self.spark, self.cfg, self.store = spark, cfg, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig(), embedder: models.Embedder | None = None, steps: Steps = Steps()):
+        self.spark, self.cfg, self.store, self.steps = spark, cfg, Store(spark, root), steps
         self.embedder = embedder or models.HashEmbedder()
 
     def chunks(self) -> DataFrame:
@@ -32,14 +53,16 @@ class Engine:
     def ingest(self, pages_: DataFrame, force: bool = False, extract=models.sentence_extractor) -> dict[str, int]:
         """Clean, chunk and mine documents that aren't indexed yet (force: all), and publish them at once."""
         fresh = pages_ if force else new_only(pages_, self.chunks(), self.pairs())
-        table = chunker.chunk_table(pages.clean(fresh), self.cfg)
+        table = scratch.written(chunker.chunk_table(pages.clean(fresh), self.cfg), "chunks")
         children = table.where("chunk_kind = 'child'")
         long = children.where(F.length(tx.strip(F.col("text"))) >= self.cfg.qa_min_chunk)
         pairs = grounding.validate(extract(long), children, self.cfg)
         pairs = grounding.merge_longest(pairs, "question", "answer", ["chunk_id", "pos"]).dropDuplicates(["qa_id"])
         columns = [c.split()[0] for c in schemas.QA_PAIRS.split(", ")]
-        self.store.upsert("chunks", table.select(*(c.split()[0] for c in schemas.CHUNKS.split(", "))), "doc_id")
-        self.store.upsert("qa_pairs", pairs.select(*columns), "doc_id" if force else "qa_id")
+        chunks = table.select(*(c.split()[0] for c in schemas.CHUNKS.split(", ")))
+        index = sparse.postings(children, "chunk_id", "text").join(children.select(F.col("chunk_id").alias("key"), "doc_id"), "key")
+        made = {"chunks": (chunks, "doc_id"), "qa_pairs": (pairs.select(*columns), "doc_id" if force else "qa_id"), "chunk_postings": (index, "doc_id")}
+        self.store.upsert_all(made)
         return self.stats()
 
     def search_questions(self, queries: DataFrame) -> DataFrame:
@@ -60,29 +83,75 @@ class Engine:
         children = table.where("chunk_kind <> 'parent'").withColumn("row", F.xxhash64("chunk_id"))
         near = dense.search(models.embed(children, "text", "vector", self.embedder), self._asked(queries), "row", "qn", "vector", cfg.overfetch * cfg.vector_k)
         near = near.join(children.select(F.col("row").alias("key"), "chunk_id"), "key").join(self._numbers(queries), F.col("query_id") == F.col("qn")).select(F.col("id").alias("query_id"), F.col("chunk_id").alias("key"), "score")
-        words = sparse.search(sparse.build(children, "chunk_id", "text", cfg), queries, "query_id", "query", cfg.overfetch * cfg.vector_k, cfg)
+        words = sparse.search(self._chunk_index(), queries, "query_id", "query", cfg.overfetch * cfg.vector_k, cfg)
         hits = fusion.fuse(near, words, cfg.vector_k, cfg)
         above = table.where("chunk_kind = 'parent'").select(F.col("chunk_id").alias("parent_id"), F.col("text").alias("parent_text"))
         shown = children.join(above, "parent_id", "left").select(F.col("chunk_id").alias("key"), F.coalesce(F.nullif("parent_text", F.lit("")), F.col("text")).alias("text"))
         return hits.join(shown, "key")
 
+    def phrasings(self, queries: DataFrame) -> DataFrame:
+        """(query_id, pos, n, text): each query's parts (three at most), and of each part the text and its rewrites (three at most)."""
+        parts = queries.select("query_id", F.lit(0).alias("pos"), tx.strip(F.col("query")).alias("text"))
+        if self.steps.split:
+            asked = queries.where(router.needs_split(F.col("query")))
+            got = self.steps.split(asked).select("query_id", "pos", tx.strip(F.col("text")).alias("text")).where("text <> ''")
+            got = router.numbered(router.distinct_phrasings(got), "pos", 3)
+            parts = parts.join(got.select("query_id").distinct(), "query_id", "left_anti").unionByName(got)
+        all_ = parts.select("query_id", "pos", F.lit(0).alias("n"), "text")
+        if self.steps.expand:
+            more = self.steps.expand(parts).select("query_id", "pos", F.col("n").cast("int").alias("n"), tx.strip(F.col("text")).alias("text")).where("text <> ''").withColumn("n", F.col("n") + 1)
+            per_part = ["query_id", "pos"]
+            all_ = router.numbered(router.distinct_phrasings(all_.unionByName(more), per_part, "n"), "n", 4, per_part)
+        return router.distinct_phrasings(all_, ["query_id"], F.struct("pos", "n"))
+
+    def search_phrasings(self, queries: DataFrame) -> DataFrame:
+        """(query_id, key, score, place, text): chunks found by each phrasing of a query, fused by reciprocal ranks, cut, and reranked."""
+        cfg = self.cfg
+        asked = self.phrasings(queries)
+        if not (self.steps.split or self.steps.expand):
+            fused = self.search_chunks(queries).withColumnRenamed("rank", "place")
+        else:
+            named = scratch.written(asked.withColumn("phrasing", F.concat_ws("#", F.xxhash64("query_id"), "pos", "n")), "phrasings")
+            hits = scratch.written(self.search_chunks(named.select(F.col("phrasing").alias("query_id"), F.col("text").alias("query"))), "hits")
+            each = hits.join(named.select(F.col("query_id").alias("id"), F.col("phrasing").alias("query_id")), "query_id")
+            texts = hits.select("key", "text").dropDuplicates(["key"])
+            best = fusion.reciprocal_ranks(each.select(F.col("id").alias("query_id"), "key", "rank", "score"), max(cfg.vector_k, 8), cfg)
+            fused = best.select("query_id", "key", "score", F.col("rank").alias("place")).join(texts, "key")
+        fused = fused.select("query_id", "key", "score", "place", "text")
+        return router.reranked(fused, self.steps.rerank(fused, queries)) if self.steps.rerank else fused
+
     def route(self, queries: DataFrame) -> DataFrame:
         """The outcome of each query; blank queries are refused without a search."""
-        real = queries.where(tx.strip(tx.text_or_empty(F.col("query"))) != "")
-        questions = self.search_questions(real)
-        answers_ = self.pairs().select(F.col("qa_id").alias("key"), "answer")
-        kept = router.distinct_answers(router.within_margin(questions, self.cfg).join(answers_, "key"), "key", "answer", self.cfg)
-        other = questions.join(router.within_margin(questions, self.cfg).select("query_id", "key"), ["query_id", "key"], "left_anti").select("query_id", "key", "score")
-        return router.route(queries, kept.select("query_id", "key", "score").unionByName(other), self.search_chunks(real), self.cfg)
+        real = tx.composed(queries.where(tx.strip(tx.text_or_empty(F.col("query"))) != ""), "query")
+        pairs = self.pairs()
+        questions = scratch.written(self.search_questions(real), "questions")
+        accepted = router.within_margin(questions, self.cfg)
+        kept = router.distinct_answers(accepted.join(pairs.select(F.col("qa_id").alias("key"), "answer"), "key"), "key", "answer", self.cfg)
+        gate = self.steps.gate(kept.join(pairs.select(F.col("qa_id").alias("key"), "question"), "key")) if self.steps.gate else None
+        other = questions.join(accepted.select("query_id", "key"), ["query_id", "key"], "left_anti").select("query_id", "key", "score")
+        return router.route(queries, kept.select("query_id", "key", "score").unionByName(other), self.search_phrasings(real), self.cfg, gate)
 
     def ask(self, queries: DataFrame, generate=models.extractive_answer, audit=models.containment_audit) -> DataFrame:
-        """Answers with citations for each query (query_id, query)."""
-        outcomes = self.route(queries)
-        found = answers.sources(outcomes, self.pairs(), self.chunks())
-        drafts = outcomes.join(generate(found), "query_id", "left").join(found.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources")), "query_id", "left")
-        drafts = answers.remap_citations(drafts, "text", "n_sources")
-        judged = answers.groundedness(audit(drafts.where("text is not null and text <> ''"), found))
-        return answers.finish(drafts.join(judged, "query_id", "left"), self.cfg)
+        """Answers with citations, near misses and notes for each query (query_id, query).
+
+        audit: (query_id, text), sources -> (query_id, claim, verdict); a draft for which it gives no row, not
+        even one without a claim, is one that could not be audited, and is withheld.
+        """
+        outcomes = scratch.written(self.route(queries), "outcomes")
+        found = scratch.written(answers.sources(outcomes, self.pairs(), self.chunks()), "sources")
+        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
+        drafts = answers.remap_citations(outcomes.join(generate(found), "query_id", "left").join(counts, "query_id", "left"), "text", "n_sources")
+        drafts = scratch.written(drafts, "drafts")
+        asked = drafts.where(tx.text_or_empty(F.col("text")) != "").where(~answers.may_skip_audit(self.cfg)).where(~answers.is_insufficient(F.col("text")))
+        verdicts = scratch.written(audit(asked.select("query_id", answers.strip_sentinel(F.col("text")).alias("text")), found), "verdicts")
+        state = asked.select("query_id", F.lit(True).alias("asked")).join(verdicts.select("query_id").distinct().withColumn("audited", F.lit(True)), "query_id", "left")
+        state = state.select("query_id", F.col("audited").isNull().alias("audit_failed"))
+        judged = drafts.join(answers.groundedness(verdicts), "query_id", "left").join(state, "query_id", "left").withColumn("audit_failed", F.coalesce("audit_failed", F.lit(False)))
+        done = answers.finish(judged, self.cfg)
+        done = done.join(answers.citations(done, found), "query_id", "left").join(answers.near_misses(outcomes, self.pairs(), self.chunks()), "query_id", "left")
+        nothing = F.array().cast("array<string>")
+        done = done.withColumn("citations", F.when(F.col("answered"), F.col("citations"))).withColumn("near_misses", F.coalesce("near_misses", nothing))
+        return done.withColumn("notes", answers.notes(self.cfg))
 
     def question_bank(self, **filters) -> DataFrame:
         return self.pairs().where(bank.matches(**filters))
@@ -107,8 +176,7 @@ class Engine:
         self.store.upsert("qa_pairs", bank.manual_pair(rows).select(*columns), "qa_id")
 
     def delete_document(self, doc_id: str) -> None:
-        for name in ("chunks", "qa_pairs"):
-            self.store.delete(name, "doc_id", doc_id)
+        self.store.delete_all(["chunks", "qa_pairs", "chunk_postings"], "doc_id", doc_id)
 
     def delete_qa_pair(self, qa_id: str) -> None:
         self.store.delete("qa_pairs", "qa_id", qa_id)
@@ -116,6 +184,35 @@ class Engine:
     def reset(self) -> None:
         self.store.reset()
 
+    def export(self, path: str, **filters) -> None:
+        """The filtered bank as JSON lines."""
+        files.export_json(self.question_bank(**filters), path)
+
+    def reviews(self) -> DataFrame:
+        return self.store.read("reviews", schemas.REVIEWS)
+
+    def flag(self, answered: DataFrame) -> None:
+        """Park answers (of ask(), with their queries) for review; flagging a query again updates its entry but keeps edited drafts."""
+        fresh = records.flagged(answered, self.pairs())
+        self.store.publish("reviews", records.merge_reviews(self.reviews(), fresh))
+
+    def update_review(self, edits: DataFrame) -> None:
+        """Save drafts: (review_id, and any of the columns of reviews)."""
+        self.store.publish("reviews", records.edited(self.reviews(), edits))
+
+    def discard_review(self, review_id: str) -> None:
+        self.store.delete("reviews", "review_id", review_id)
+
+    def approve_reviews(self) -> None:
+        """File all pending reviews in the bank, with the provenance of documents that are gone cleared, and drop them from the queue."""
+        filed = records.with_provenance(self.reviews(), self.chunks())
+        self.upsert_qa_pair(filed.withColumn("qa_id", F.col("source_qa_id")))
+        self.store.publish("reviews", self.spark.createDataFrame([], schemas.REVIEWS))
+
+    def record(self, events: DataFrame, path: str) -> None:
+        """Append metrics events to JSON lines."""
+        records.append(events, path)
+
     def evaluate(self, golden: DataFrame, route_only: bool = False) -> DataFrame:
         """Rates of a golden set (query_id, query, …)."""
         if route_only:
@@ -124,6 +221,22 @@ class Engine:
             out = self.ask(golden)
         return records.evaluate(golden, out)
 
+    def baseline(self, queries: DataFrame) -> DataFrame:
+        """What plain passage search would do: phrasings fused, and the base threshold only."""
+        best = self.search_phrasings(queries).groupBy("query_id").agg(F.max("score").alias("confidence"))
+        out = queries.select("query_id").join(best, "query_id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+        hit = F.col("confidence") >= self.cfg.vector_threshold
+        return out.select("query_id", F.when(hit, "vector_rag").otherwise("refused").alias("route"), hit.alias("answered"), "confidence", F.lit(None).cast("double").alias("groundedness"), F.lit("").alias("answer"))
+
+    def compare(self, golden: DataFrame) -> DataFrame:
+        """Rates of routing and of plain passage search side by side."""
+        return records.compare(self.evaluate(golden, route_only=True), records.evaluate(golden, self.baseline(golden)))
+
+    def _chunk_index(self) -> sparse.SparseIndex:
+        """The index of the postings that ingest has written."""
+        stored = self.store.read("chunk_postings", "key string, dl int, term string, tf long, head boolean, doc_id string")
+        return sparse.index_of(stored.drop("doc_id"), self.cfg)
+
     def _numbers(self, queries: DataFrame) -> DataFrame:
         return queries.select(F.col("query_id").alias("id"), F.xxhash64("query_id").alias("qn"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from lodestone import schemas
 from lodestone.functions import text as tx
+from lodestone.sources import scratch
 
 
-def documents_as_pages(docs: DataFrame, page_chars: int = 0) -> DataFrame:
+def documents_as_pages(docs: DataFrame) -> DataFrame:
     """Documents as single pages (doc_id, doc_name, page_number, text)."""
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("doc_name"), F.lit(1).alias("page_number"), tx.text_or_empty(F.col("text")).alias("text"))
 
@@ -25,32 +27,52 @@ def pdf_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return files, raw.where(~good).select("path", F.lit("not a PDF file").alias("error"))
 
 
-def pdf_pages(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """Pages of PDF files by a given reader (there is none in this repository); a file that fails gives no page."""
+def pdf_pages(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> tuple[DataFrame, DataFrame]:
+    """(pages, errors) of PDF files by a given reader (there is none in this repository); a file that fails, or has no page, is an error and stops nothing."""
 
     def run(parts):
         for p in parts:
             rows = []
             for doc, name, body in zip(p.doc_id, p.doc_name, p.content):
                 try:
-                    rows += [(doc, name, k, t) for k, t in enumerate(read_pages(bytes(body)), 1)]
-                except Exception:  # a broken file must not stop the batch; it shows up as a document without pages
-                    continue
-            yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "page_number", "text"])
+                    got = [(doc, name, k, t, None) for k, t in enumerate(read_pages(bytes(body)), 1)]
+                    rows += got or [(doc, name, None, None, "no pages")]
+                except Exception as e:  # whatever the reader raises; the file goes to the errors
+                    rows.append((doc, name, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "doc_name", "page_number", "text", "error"]).astype({"page_number": "Int32"})
 
-    return files.select("doc_id", "doc_name", "content").mapInPandas(run, schemas.PAGES)
+    read = scratch.written(files.select("doc_id", "doc_name", "content").mapInPandas(run, f"{schemas.PAGES}, error string"), "pages")
+    return read.where("error is null").drop("error"), read.where("error is not null").select("doc_id", "doc_name", "error")
+
+
+def page_count(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> DataFrame:
+    """(doc_id, doc_name, pages) of files that can be read."""
+    return pdf_pages(files, read_pages)[0].groupBy("doc_id", "doc_name").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """pages with tables and captions (doc_id, page_number, pos, text), each as a paragraph, after their page's text."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", tx.strip(tx.text_or_empty(F.col("text"))).alias("t")))), lambda x: x["t"])
+    more = tables.groupBy("doc_id", "page_number").agg(F.filter(texts, lambda t: t != "").alias("__more"))
+    both = pages.join(more, ["doc_id", "page_number"], "left")
+    parts = F.filter(F.concat(F.array(tx.text_or_empty(F.col("text"))), F.coalesce("__more", F.array().cast("array<string>"))), lambda t: t != "")
+    return both.withColumn("text", F.array_join(parts, "\n\n")).drop("__more")
 
 
 def html_pages(pages: DataFrame) -> DataFrame:
-    """Visible text of web pages, a line for each block, as pages: markup, scripts and styles dropped, references decoded."""
+    """Visible text of web pages, a line for each block, as pages: markup, scripts and styles dropped, character references decoded (only texts that hold any leave the JVM)."""
+
+    @F.pandas_udf("string")
+    def unescaped(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
     body = tx.text_or_empty(F.col("html"))
     bare = F.regexp_replace(body, r"(?is)<!--.*?-->|<(script|style|head)\b.*?</\1\s*>", " ")
     lines = F.regexp_replace(bare, r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|article|section|header|footer|nav|aside|main|br)\b[^>]*>", "\n")
-    plain = F.regexp_replace(lines, r"<[^>]*>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    kept = F.filter(F.transform(F.split(plain, "\n"), tx.one_space), lambda x: x != "")
-    return pages.select(F.col("page_id").cast("string").alias("doc_id"), tx.text_or_empty(F.col("url")).alias("doc_name"), F.lit(1).alias("page_number"), F.array_join(kept, "\n").alias("text"))
+    rows = pages.select(F.col("page_id").cast("string").alias("doc_id"), tx.text_or_empty(F.col("url")).alias("doc_name"), F.lit(1).alias("page_number"), F.regexp_replace(lines, r"<[^>]*>", "").alias("text"))
+    rows = rows.withColumn("text", F.coalesce(unescaped(F.when(F.contains("text", F.lit("&")), F.col("text"))), F.col("text")))
+    kept = F.filter(F.transform(F.split("text", "\n"), tx.one_space), lambda x: x != "")
+    return rows.withColumn("text", F.array_join(kept, "\n"))
 
 
 def golden_questions(spark: SparkSession, path: str) -> DataFrame:

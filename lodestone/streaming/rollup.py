@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def daily(events: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """(day, event_type, n, total) of events, batch or stream; a stream keeps its state for `late` only."""
+    """(day, event_type, n, total) of events, batch or stream; a stream drops what comes later than `late`."""
     rows = events.withColumn("at", F.col(ts).cast("timestamp"))
     if events.isStreaming:
         rows = rows.withWatermark("at", late)
@@ -30,6 +30,13 @@ def upsert_stream(stream: DataFrame, store, name: str, key: str, checkpoint: str
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rollup_stream(stream: DataFrame, out: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Daily roll-up into an in-memory table of that name, complete after each batch."""
-    return daily(stream).writeStream.outputMode("complete").format(out).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def rollup_stream(stream: DataFrame, store, name: str, checkpoint: str) -> StreamingQuery:
+    """Daily roll-up kept up to date as a table of a store: each batch replaces the days it changes.
+
+    State is kept until the watermark has passed a day; what comes later still is dropped.
+    """
+
+    def batch(rows: DataFrame, _: int) -> None:
+        store.upsert(name, rows.withColumn("key", F.concat_ws("|", "day", "event_type")), "key")
+
+    return daily(stream).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
