@@ -204,3 +204,30 @@ def test_long_texts_and_extra_columns_are_joined(spark):
     near = long.replace("w17 ", "w18 ")
     df = spark.createDataFrame([(3, long, 1, "x"), (1, near, 2, None), (2, "short one", 3, "y")], "doc_id long, text string, component_id int, n string")
     assert {r.doc_id: r.component_id for r in jaccardjoin.join(df).collect()} == {1: 1, 3: 1, 2: 2}
+
+
+def test_windows_leave_few_vectors_to_verify():
+    """Vectors without clusters, the hardest case: recall and the share of vectors that are verified."""
+    v = np.random.default_rng(4).normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = collision.Index(v, collision.DIRECTIONS)
+    hit, queries = 0, range(0, 6000, 150)
+    for q in queries:
+        at, distance = index.nearest(v[q], 10, np.array([q]))
+        far = np.sqrt(((v - v[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hit += len(set(np.argsort(far)[:10].tolist()) & set(at[np.argsort(distance)][:10].tolist()))
+    assert hit / (10 * len(queries)) >= 0.9 and index.verified / (len(queries) * len(v)) < 0.2
+
+
+def test_nearest_of_null_ids_clashing_columns_and_large_values(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=4) * 1e200], k, 0.5) for k in range(40)] + [(None, [1e200, 0.0, 0.0, 0.0], 1, 1.0), (100, [1e308] * 4, 2, 2.0), (100, [-1e308] * 4, 2, 2.0), (100, [0.0, 1e200, 0.0, 0.0], 3, 3.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double")
+    found = collision.search(df, df.where("vec_id % 20 = 0 or vec_id is null"), k=5).collect()
+    again = collision.search(df.repartition(3), df.where("vec_id % 20 = 0 or vec_id is null"), k=5).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again)) and {x.query_id for x in found} == {0, 20, 100}
+    v = {k: np.array(x) for k, x, _, _ in rows if k is not None and k < 100}
+    for q in (0, 20):
+        best = sorted((float(np.sqrt((((v[k] - v[q]) / 1e200) ** 2).sum())) * 1e200, k) for k in v if k != q)[:5]
+        assert len({x.vec_id for x in found if x.query_id == q} & {k for _, k in best}) >= 4
