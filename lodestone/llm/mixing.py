@@ -14,8 +14,10 @@ Curriculum: a source's weight changes over training along straight lines between
 scaled to the target, is the source's cumulative demand; a copy of a document stands where the demand
 meets the words before it. Documents are sorted by that position in ranges.
 
-Cases: null texts have size 0 and are taken 0 times; a source without words has target 0; a null source is
-a source; ties in the hash are ordered by id and size, so reruns agree; empty tables give no rows.
+Cases: null and empty texts have size 0 and are taken 0 times; very long texts are counted whole and may be
+cut; a source without words has target 0; a null source is a source; ties in the hash are ordered by id
+and size, and copies at one position by a hash of their row, so reruns agree; rows that repeat are taken
+one by one; columns named like the outputs are replaced, others are kept; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -119,14 +121,26 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """One row for each copy taken, range-sorted by its position; the columns of mix() other than positions are kept."""
-    return mixed.withColumn("position", F.explode("positions")).drop("positions").repartitionByRange("position").sortWithinPartitions("position")
+    """One row for each copy taken, range-sorted by its position; the columns of mix() other than positions are kept.
+
+    Copies at one position (the first of each source, for one) stand in the order of a hash of their row, so
+    reruns agree; rows that are equal in all columns can't be told apart.
+    """
+    rows = mixed.withColumn("position", F.explode("positions")).drop("positions")
+    tie = F.xxhash64(*(c for c in rows.columns if c != "position"))
+    return range_sorted(rows.withColumn("__tie", tie), ["position", "__tie"]).drop("__tie")
+
+
+def range_sorted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows dealt out in ranges of the keys, each sorted."""
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def mixing_query(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the first position of every document."""
+    """doc_id, size, source_size, target, taken and the first position of every document, range-sorted by position, those that the mix doesn't take first."""
     out = mix(docs.select("doc_id", "source", "text"), keep_text=False)
-    return out.select("doc_id", "size", "source_size", F.col("target"), "taken", F.get("positions", F.lit(0)).alias("position"))
+    narrow = out.select("doc_id", "size", "source_size", F.col("target"), "taken", F.get("positions", F.lit(0)).alias("position"))
+    return range_sorted(written(narrow, "mixed"), ["position", "doc_id", "size"])
 
 
 def mixing_sql() -> str:

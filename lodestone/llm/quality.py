@@ -11,7 +11,10 @@ the certified cutoffs the one that rejects the most bad texts over good ones is
 
 Everything is DataFrame functions. Cases: a null or empty text has zero counts and fails the base rule; a
 stratum without labels, or with too few to certify anything, has no cutoffs; null languages are a stratum;
-a document labelled more than once counts as good only if all its labels say so; other columns are kept.
+a document labelled more than once counts as good only if all its labels say so; very long texts are counted
+whole; rows that repeat are judged alike; of cutoffs that reject equally many more bad texts than good ones
+the most lenient is used; columns named like the outputs are replaced, others are kept; empty tables give
+no rows.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Native operators against their SQL and against cases written by hand."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -111,3 +112,67 @@ def test_schedules_are_inverted(spark):
         shares = [x / 20 for x in range(21)]
         times = [r[0] for r in spark.createDataFrame([(x,) for x in shares], "x double").select(mixing.time_of(F.col("x"), F.lit(k))).collect()]
         assert [area(t) / area(1.0) for t in times] == pytest.approx(shares, abs=1e-9)
+
+
+def certified_by_hand(rows, marks):
+    """Cutoffs of each language by the exact binomial test in a fixed sequence, in plain Python."""
+    facts = {}
+    for d, text, lang in rows:
+        words = text.split()
+        windows = Counter(zip(words, words[1:], words[2:]))
+        again = {j for i, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in text.split("\n") if x.split()]
+        if len(words) >= 50 and 100 * len(again) <= 50 * len(words):
+            facts[d] = lang, {"symbols": sum(text.count(c) for c in quality.SYMBOLS) / len(words), "lines": (len(lines) - len(set(lines))) / len(lines), "repeats": len(again) / len(words), "length": sum(map(len, words)) / len(words)}
+    strata = {facts[d][0] for d in marks if d in facts}
+    out = {}
+    for lang in strata:
+        good = [facts[d][1] for d, q in marks.items() if d in facts and facts[d][0] == lang and q]
+        bad = [facts[d][1] for d, q in marks.items() if d in facts and facts[d][0] == lang and not q]
+        for signal, grid in quality.GRID.items():
+            best = (0, None)
+            for c in grid:
+                k, n, p = sum(x[signal] > c for x in good), len(good), quality.RISK / len(quality.GRID)
+                tail = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if n and k <= n * p else 1.0
+                if tail > quality.DELTA / (len(quality.GRID) * len(strata)):
+                    break
+                gain = sum(x[signal] > c for x in bad) - k
+                best = max(best, (gain, c), key=lambda x: x[0])
+            out[lang, signal] = best[1]
+    return {d: not any(out.get((lang, s)) is not None and v > out[lang, s] for s, v in x.items()) for d, (lang, x) in facts.items()}, out
+
+
+def test_certified_cutoffs_equal_sql_and_the_exact_test(spark, tmp_path):
+    """Enough labels to certify cutoffs in one language, too few in another."""
+    import duckdb
+
+    r = random.Random(3)
+    rows, marks = [], {}
+    for k in range(2600):
+        lang = "de" if k % 13 == 0 else "en"
+        bad, few = k % 4 == 0, r.random() < 0.004
+        extra = r.choice(["#", "#*|", "%%%%"]) if bad or few else ""
+        line = "the same line again\n" * (8 if bad and k % 8 == 0 else 0)
+        rows.append((k, line + " ".join(f"{'long' * (4 if bad and k % 12 == 0 else 1)}{k}x{i}{extra}" for i in range(60)), lang))
+        marks[k] = int(not bad)
+    kept, cutoffs = certified_by_hand(rows, marks)
+    assert {lang for (lang, _), c in cutoffs.items() if c is not None} == {"en"} and sum(c is not None for c in cutoffs.values()) >= 2
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(list(marks.items()), "doc_id long, quality int")
+    got = {x.doc_id: x.kept for x in quality.quality_query(docs, labels).collect()}
+    assert {d: got[d] for d in kept} == kept and 300 < sum(not v for v in got.values()) < 800
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    out = con.execute(quality.quality_sql())
+    names = [c[0] for c in out.description]
+    assert {row[names.index("doc_id")]: row[names.index("kept")] for row in out.fetchall()} == got
+
+
+def test_training_order_is_total(spark):
+    docs = spark.createDataFrame([(k % 50, "w " * (k % 5), f"s{k % 4}") for k in range(300)], "doc_id long, text string, source string")
+    runs = [[(x.doc_id, x.source, x.position) for x in mixing.in_training_order(mixing.mix(docs.repartition(n))).collect()] for n in (1, 6)]
+    assert runs[0] == runs[1] and [x[2] for x in runs[0]] == sorted(x[2] for x in runs[0])
+    rows = [x.position for x in mixing.mixing_query(docs).collect()]
+    assert len(rows) == 300 and [x for x in rows if x is not None] == sorted(x for x in rows if x is not None) and rows.index(min(x for x in rows if x is not None)) == sum(x is None for x in rows)
