@@ -20,9 +20,14 @@ smaller id, or earlier in the same one. Strings are compared on the input, and n
 Blocks are dealt by hash, their number follows the input's size, and equal content is combined before
 each exchange. Nothing is gathered on the driver but the input's size.
 
-Cases: a null or empty text loses nothing and has no bytes; texts shorter than LENGTH lose nothing; rows
-that repeat an id and its text count as one place, so each gets the same result; a null id is the
-smallest; other columns are kept.
+K-grams and the bytes around them are compared by two 64-bit hashes of at most 170 bytes; in step 2 by the
+bytes themselves.
+
+Cases: a null or empty text loses nothing and has no bytes; texts shorter than LENGTH lose nothing; very long
+texts are read in stretches; rows that repeat an id and its text count as one place, so each gets the same
+result; different texts of one id are ordered by where a string starts, and both keep a string that
+starts at the same place in both; a null id is the smallest; columns named like the outputs are replaced,
+others are kept; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -136,7 +141,7 @@ def anchor_rows(length: int, blocks: int, doc_blocks: int) -> Callable:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
             ids, keys = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("__id", "__text_key"))
-            for i, j in pieces(offsets, 2 << 20):
+            for i, j in pieces(offsets, 1 << 20):
                 a = anchors.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 if len(a):
                     found.append([a.gram, a.whole, ids[i + a.row], keys[i + a.row], a.first, a.last - a.first])

@@ -45,6 +45,21 @@ def test_equal_windows_have_equal_anchors(seed):
     assert sum(a.last - a.first + 1) == sum(max(0, len(t) - 99) for t in texts)
 
 
+def test_long_texts_have_the_same_anchors(monkeypatch):
+    """Texts beyond the places that a hash can carry are cut into stretches; equal windows still share their k-gram."""
+    monkeypatch.setattr(anchors, "PLACE_BITS", 10)
+    r = random.Random(5)
+    common = bytes(r.choice(b"abcd ") for _ in range(900))
+    texts = [bytes(r.choice(b"abcd ") for _ in range(n)) + common for n in (0, 700, 3000, 5)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    a = anchors.find(np.frombuffer(b"".join(texts), np.uint8), offsets, 100)
+    seen = {}
+    for row, first, last, gram in zip(a.row, a.first, a.last, a.gram):
+        for s in range(first, last + 1):
+            assert seen.setdefault(texts[row][s : s + 100], gram) == gram
+    assert sum(a.last - a.first + 1) == sum(len(t) - 99 for t in texts)
+
+
 @pytest.fixture(scope="module")
 def codec():
     P = pytest.importorskip("public_tokenizers")
