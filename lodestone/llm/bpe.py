@@ -6,7 +6,9 @@ which makes sentencepiece's best-score-first merging the same as lowest-rank-fir
 normaliser is the identity. A text is cut into pre-tokens by a pattern, each pre-token is mapped
 to characters and encoded on its own; decoding maps ids to pieces and characters back to bytes.
 
-Cases: a null or empty text has no ids and decodes to no bytes; other columns are kept untouched.
+Cases: a null or empty text has no ids and decodes to no bytes; very long texts are encoded whole, a few at a
+time, and very long pre-tokens aren't remembered; rows that repeat give equal ids; of merges of equal rank
+there are none; a column named like the output is replaced, others are kept; empty tables give no rows.
 """
 
 from __future__ import annotations

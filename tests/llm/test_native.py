@@ -176,3 +176,23 @@ def test_training_order_is_total(spark):
     assert runs[0] == runs[1] and [x[2] for x in runs[0]] == sorted(x[2] for x in runs[0])
     rows = [x.position for x in mixing.mixing_query(docs).collect()]
     assert len(rows) == 300 and [x for x in rows if x is not None] == sorted(x for x in rows if x is not None) and rows.index(min(x for x in rows if x is not None)) == sum(x is None for x in rows)
+
+
+def test_nested_rules_over_many_ranges(spark):
+    """Rules nested in hosts and paths, a host with a third of all urls, and more ranges than rules of a host."""
+    r = random.Random(2)
+    label, part = (lambda: r.choice(["a", "b", "a-b", "c"])), (lambda: r.choice(["x", "xy", "é", "\n"]))
+    rules = {(".".join(label() for _ in range(r.randrange(1, 4))), "/" * r.randrange(2) + "/".join(part() for _ in range(r.randrange(0, 3)))): r.choice(["allow", "block"]) for _ in range(40)}
+    urls = [(k, f"http://{'b.a' if k % 3 == 0 else '.'.join(label() for _ in range(r.randrange(1, 5)))}/" + "/".join(part() for _ in range(r.randrange(0, 4)))) for k in range(600)]
+
+    def plain(u):
+        host, _, path = u[7:].partition("/")
+        fits = [(len(h + p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        return max(fits)[2:] if fits else (None, "allow")
+
+    table = spark.createDataFrame([(*k, v) for k, v in rules.items()] + [(None, "/", "block"), ("", "/", "block")], "host string, path string, verdict string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    got = {x.page_id: (x.rule, x.verdict) for x in urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), table).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == {k: plain(u) for k, u in urls} and len({v for v, _ in got.values()}) > 10
