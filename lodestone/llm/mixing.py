@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.store import join_small, written
+from lodestone.llm.store import join_small, lasting, passing, written
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Knots (time, relative weight) of the schedules that the sources take in turn: falling, rising, level.
@@ -138,9 +138,10 @@ def range_sorted(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def mixing_query(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken and the first position of every document, range-sorted by position, those that the mix doesn't take first."""
-    out = mix(docs.select("doc_id", "source", "text"), keep_text=False)
-    narrow = out.select("doc_id", "size", "source_size", F.col("target"), "taken", F.get("positions", F.lit(0)).alias("position"))
-    return range_sorted(written(narrow, "mixed"), ["position", "doc_id", "size"])
+    with passing():
+        out = mix(docs.select("doc_id", "source", "text"), keep_text=False)
+        narrow = lasting(out.select("doc_id", "size", "source_size", F.col("target"), "taken", F.get("positions", F.lit(0)).alias("position")), "mixed")
+    return range_sorted(narrow, ["position", "doc_id", "size"])
 
 
 def mixing_sql() -> str:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +28,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return spread(df)
 
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local session without one (tests) gets a temporary one, a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -32,17 +39,50 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = _OWN[app]
     return folder
 
 
+#: Tables that the open passing() blocks, the innermost last, have to drop.
+_MADE: ContextVar[tuple[list, ...]] = ContextVar("made", default=())
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables that written() makes inside are dropped at the end, whether it is reached or not.
+
+    So nothing that is lazy may leave the block but what reads only tables of lasting().
+    """
+    made: list[DataFrame] = []
+    token = _MADE.set((*_MADE.get(), made))
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for t in made:
+            drop(t)
+
+
+def lasting(df: DataFrame, name: str) -> DataFrame:
+    """written(), but the innermost open passing() leaves the table to the one around it."""
+    token = _MADE.set(_MADE.get()[:-1])
+    try:
+        return written(df, name)
+    finally:
+        _MADE.reset(token)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: its lineage ends there."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    if open_ := _MADE.get():
+        open_[-1].append(out)
     return out
 
 

@@ -54,3 +54,43 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "ein Text", None, "s", 8), (2, "12 34", None, "s", 5), (3, None, None, "s", 0), (4, "слово", None, "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(x.doc_id for x in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_every_stage_takes_all_cases(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, and columns that clash with what the operators make."""
+    r = random.Random(10)
+    text = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(9000)) for _ in range(n))
+    long, plain = text(60_000), text(50)
+    rows = [(1, long, "en", "s", len(long)), (2, plain, None, None, None), (2, plain, None, None, None), (None, text(40), "en", "s", 3), (None, None, None, None, None), (4, "", "de", "s", 0), (5, text(30), "de", "t", 1)]
+    docs = spark.createDataFrame([(*x, 1.5, "c", 7, None) for x in rows], f"{SCHEMA}, position double, component_id string, size int, n_removed string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        if name == "tokens":
+            assert len(got) == len(rows) and {x.n_tokens for x in got if x.doc_id in (4,)} == {0}
+            continue
+        assert out.columns == corpus_pipeline.COLUMNS and {x.doc_id for x in got} >= {1, 2, 5} and next(x for x in got if x.doc_id == 1).text == long
+        kept = sum(x.doc_id == 2 for x in got)
+        assert kept >= 2 if name == "language" else kept == 1 if name == "near_duplicates" else kept >= 2 if name == "repeats" else kept >= 1
+        assert (None in {x.text for x in got}) == (name == "near_duplicates")
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == 0
+
+
+def test_run_drops_what_it_passes_through(spark, rows, tmp_path, monkeypatch):
+    import os
+
+    from lodestone.llm import store
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(store, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = sorted(x.rsplit("-", 1)[0] for x in os.listdir(f"{tmp_path}/shared"))
+    assert left == ["stage-mixing"] and out.count() > 40
