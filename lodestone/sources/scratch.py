@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a table for each core up to which its rows may all stand in one split.
 SPLIT = 4 << 20
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -20,8 +22,10 @@ def folder(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
 
 
