@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -37,15 +38,23 @@ class HashEmbedder:
         return (out / np.where(norm > 0, norm, 1)).tolist()
 
 
-def embed(rows: DataFrame, text: str, out: str, embedder: Embedder) -> DataFrame:
-    """rows with a vector of each text, batch by batch; a wrong number of vectors is an error."""
+def embed(rows: DataFrame, text: str, out: str, embedder: Embedder, optional: bool = False) -> DataFrame:
+    """rows with a vector of each text, batch by batch; a wrong number of vectors is an error.
+
+    optional: texts of a batch for which the embedder fails have no vector, instead of failing the job.
+    """
 
     @F.pandas_udf("array<double>")
     def vectors(texts: pd.Series) -> pd.Series:
-        got = embedder([t if t and t.strip() else " " for t in texts])
-        if len(got) != len(texts):
-            raise ValueError(f"{len(texts)} texts, but {len(got)} vectors")
-        return pd.Series(got)
+        try:
+            got = embedder([t if t and t.strip() else " " for t in texts])
+            if len(got) != len(texts):
+                raise ValueError(f"{len(texts)} texts, but {len(got)} vectors")
+        except Exception:  # whatever the embedder raises
+            if not optional:
+                raise
+            got = [None] * len(texts)
+        return pd.Series(got, dtype=object)
 
     return rows.withColumn(out, vectors(text))
 
@@ -85,6 +94,61 @@ def sentence_extractor(chunks: DataFrame, per_chunk: int = 3) -> DataFrame:
     return rows.select("chunk_id", "pos", F.concat(F.lit("What is said about "), opening).alias("question"), F.col("s").alias("answer"), F.lit("factual").alias("question_type"), F.lit("basic").alias("difficulty"), F.array("s").alias("evidence"), F.array(F.concat(F.lit("Tell me about "), opening)).alias("paraphrases"), F.slice(words, 1, 4).alias("keywords"))
 
 
+RAW = "chunk_id string, pos int, question string, answer string, question_type string, difficulty string, evidence array<string>, paraphrases array<string>, keywords array<string>, error string"
+
+
+def model_extractor(ask: Callable[[str, str, str], str], most: int = 7) -> Callable[[DataFrame], DataFrame]:
+    """An extractor for Engine.ingest() that asks a model for the pairs of each chunk: ask(text, text before, text after) -> reply.
+
+    chunks may have prev_text and next_text. A chunk for which the model fails gives one row with the error;
+    one without a pair gives a row without a question.
+    """
+    texts = lambda v: [str(x) for x in v if x is not None] if isinstance(v, list) else []
+    word = lambda v: None if v is None else str(v)
+
+    def rows(chunk: str, reply: str) -> list[tuple]:
+        found = [(chunk, k, word(p.get("question")), word(p.get("answer")), word(p.get("question_type")), word(p.get("difficulty")), texts(p.get("evidence")), texts(p.get("paraphrases")), texts(p.get("keywords")), None) for k, p in enumerate(raw_pairs(salvage_json(reply))[:most])]
+        return found or [(chunk, 0, None, None, None, None, [], [], [], None)]
+
+    def run(parts):
+        for p in parts:
+            out = []
+            for chunk, text, before, after in zip(p.chunk_id, p.text, p.prev_text, p.next_text):
+                try:
+                    out += rows(chunk, ask(text, before or "", after or ""))
+                except Exception as e:  # whatever the client raises; the batch goes on
+                    out.append((chunk, 0, None, None, None, None, [], [], [], f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")])
+
+    def extract(chunks: DataFrame) -> DataFrame:
+        more = {c: F.lit(None).cast("string") for c in ("prev_text", "next_text") if c not in chunks.columns}
+        return chunks.withColumns(more).select("chunk_id", "text", "prev_text", "next_text").mapInPandas(run, RAW)
+
+    return extract
+
+
+def complete(raw: DataFrame) -> DataFrame:
+    """Raw pairs with the columns of RAW, in their order."""
+    return raw.withColumn("error", F.lit(None).cast("string") if "error" not in raw.columns else F.col("error")).select(*(F.col(c.split()[0]).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in RAW.split(", ")))
+
+
+def with_retries(ask: Callable[..., str], tries: int = 3, wait: float = 1.0) -> Callable[..., str]:
+    """A client that is asked again after a failure, after twice the time each time."""
+    import time
+
+    def again(*args: str) -> str:
+        for k in range(tries):
+            try:
+                return ask(*args)
+            except Exception:  # whatever the client raises; the last one goes on
+                if k + 1 == tries:
+                    raise
+                time.sleep(wait * 2**k)
+        raise ValueError("tries must be 1 or more")
+
+    return again
+
+
 def extractive_answer(sources: DataFrame) -> DataFrame:
     """Stand-in for generation: the quote of each query's first sources, each with its marker."""
     line = F.concat("quote", F.lit(" ["), F.col("index").cast("string"), F.lit("]"))

@@ -150,3 +150,27 @@ def history(searches: DataFrame, most: int = 8) -> DataFrame:
     """The latest distinct queries, newest first."""
     w = Window.partitionBy("query").orderBy(F.desc("ts"))
     return searches.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n").orderBy(F.desc("ts"), "query").limit(most)
+
+
+def coverage(chunks: DataFrame, raw: DataFrame, pairs: DataFrame, samples: int = 8) -> DataFrame:
+    """One row on an extraction: chunks asked, failed, without a pair, pairs kept, pairs for each chunk, and the first failures.
+
+    raw: (chunk_id, question, error) as the extractor gave it; pairs: what was kept.
+    """
+    per = raw.groupBy("chunk_id").agg(F.first("error", ignorenulls=True).alias("error"), F.count("question").alias("n"))
+    asked = chunks.select("chunk_id").distinct().join(per, "chunk_id", "left")
+    kept = pairs.agg(F.count(F.lit(1)).alias("pairs_kept"))
+    failures = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("chunk_id", "error")))), 1, samples), lambda x: F.concat_ws(": ", x["chunk_id"], x["error"]))
+    row = asked.agg(F.count(F.lit(1)).alias("chunks"), F.count("error").alias("chunks_failed"), F.count_if(F.col("error").isNull() & (F.coalesce("n", F.lit(0)) == 0)).alias("chunks_empty"), failures.alias("failure_samples"))
+    both = row.withColumn("__one", F.lit(1)).join(kept.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    return both.withColumn("questions_per_chunk", F.round(F.coalesce(F.try_divide("pairs_kept", "chunks"), F.lit(0.0)), 2))
+
+
+def batch_totals(reports: DataFrame) -> DataFrame:
+    """One row of sums over the reports of a batch's documents (doc_id, pages, ocr_pages array<int>, chunks, questions, elapsed, error)."""
+    return reports.agg(
+        F.count_if(F.col("error").isNull()).alias("documents"),
+        F.count("error").alias("failed"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pages", "chunks", "questions", "elapsed")),
+        F.coalesce(F.sum(F.size(F.coalesce("ocr_pages", F.array().cast("array<int>")))), F.lit(0)).alias("ocr_pages"),
+    )

@@ -39,6 +39,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, cfg: EngineConfig = EngineConfig(), embedder: models.Embedder | None = None, steps: Steps = Steps()):
         self.spark, self.cfg, self.store, self.steps = spark, cfg, Store(spark, root), steps
         self.embedder = embedder or models.HashEmbedder()
+        #: One row on the last ingest's extraction; see records.coverage().
+        self.last_coverage: DataFrame | None = None
 
     def chunks(self) -> DataFrame:
         return self.store.read("chunks", schemas.CHUNKS)
@@ -50,19 +52,37 @@ class Engine:
         """What ingest would do with each page."""
         return pages.report(pages_, self.cfg, mode, force)
 
-    def ingest(self, pages_: DataFrame, force: bool = False, extract=models.sentence_extractor) -> dict[str, int]:
-        """Clean, chunk and mine documents that aren't indexed yet (force: all), and publish them at once."""
+    def ingest(self, pages_: DataFrame, force: bool = False, extract=models.sentence_extractor, fingerprint: str = "", across=None) -> dict[str, int]:
+        """Clean, chunk and mine documents that aren't indexed yet (force: all), and publish them at once.
+
+        extract: (chunk_id, text, prev_text, next_text) -> raw pairs, with an error column or without; what it
+        gave for a chunk is kept under a digest of the chunk and the fingerprint of the extractor, and it isn't
+        asked again. across: (doc_id, ordinal, chunk_id, first, second) -> raw pairs that need two chunks.
+        """
         fresh = pages_ if force else new_only(pages_, self.chunks(), self.pairs())
         table = scratch.written(chunker.chunk_table(pages.clean(fresh), self.cfg), "chunks")
         children = table.where("chunk_kind = 'child'")
-        long = children.where(F.length(tx.strip(F.col("text"))) >= self.cfg.qa_min_chunk)
-        pairs = grounding.validate(extract(long), children, self.cfg)
-        pairs = grounding.merge_longest(pairs, "question", "answer", ["chunk_id", "pos"]).dropDuplicates(["qa_id"])
+        asked = chunker.neighbours(children, "doc_id", "ordinal", "text").where(F.length(tx.strip(F.col("text"))) >= self.cfg.qa_min_chunk)
+        asked = asked.withColumn("digest", files.cache_key(F.col("doc_id"), F.col("ordinal"), F.col("text"), fingerprint=fingerprint))
+        cached = self.store.read("extractions", f"digest string, {models.RAW}")
+        misses = asked.join(cached.select("digest").distinct(), "digest", "left_anti")
+        got = scratch.written(models.complete(extract(misses)).join(misses.select("chunk_id", "digest"), "chunk_id"), "raw")
+        raw = got.unionByName(cached.join(asked.select("digest", F.col("chunk_id").alias("own")), "digest").withColumn("chunk_id", F.col("own")).drop("own"))
+        raw = scratch.written(raw.where("question is not null or error is not null"), "raw")
+        mined = raw.where("error is null").drop("error", "digest")
+        if across is not None:
+            two = chunker.adjacent_pairs(children, "doc_id", "ordinal", "text").join(children.select("doc_id", "ordinal", "chunk_id"), ["doc_id", "ordinal"])
+            kind = F.when(F.col("question_type").isin("multi_hop", "comparative", "critical"), F.col("question_type")).otherwise(F.lit("multi_hop"))
+            mined = mined.unionByName(models.complete(across(two)).where("error is null and question is not null").drop("error").withColumn("question_type", kind).withColumn("pos", F.col("pos") + 1000))
+        pairs = grounding.validate(mined, children, self.cfg)
+        pairs = scratch.written(grounding.merge_longest(pairs, "question", "answer", ["chunk_id", "pos"]), "pairs")
+        self.last_coverage = records.coverage(asked, raw, pairs)
         columns = [c.split()[0] for c in schemas.QA_PAIRS.split(", ")]
         chunks = table.select(*(c.split()[0] for c in schemas.CHUNKS.split(", ")))
         index = sparse.postings(children, "chunk_id", "text").join(children.select(F.col("chunk_id").alias("key"), "doc_id"), "key")
-        made = {"chunks": (chunks, "doc_id"), "qa_pairs": (pairs.select(*columns), "doc_id" if force else "qa_id"), "chunk_postings": (index, "doc_id")}
-        self.store.upsert_all(made)
+        vectors = models.embed(children.select("doc_id", "chunk_id", "text"), "text", "vector", self.embedder).drop("text")
+        made = {"chunks": (chunks, "doc_id"), "qa_pairs": (pairs.select(*columns), "doc_id" if force else "qa_id"), "chunk_postings": (index, "doc_id"), "chunk_vectors": (vectors, "doc_id")}
+        self.store.upsert_all(made | {"extractions": (got.where("error is null").select("digest", *(c.split()[0] for c in models.RAW.split(", "))), "digest")})
         return self.stats()
 
     def search_questions(self, queries: DataFrame) -> DataFrame:
@@ -81,7 +101,8 @@ class Engine:
         """(query_id, key, score, rank, text): best child chunks of each query, with their parents' text."""
         cfg, table = self.cfg, self.chunks()
         children = table.where("chunk_kind <> 'parent'").withColumn("row", F.xxhash64("chunk_id"))
-        near = dense.search(models.embed(children, "text", "vector", self.embedder), self._asked(queries), "row", "qn", "vector", cfg.overfetch * cfg.vector_k)
+        vectors = self.store.read("chunk_vectors", "doc_id string, chunk_id string, vector array<double>").withColumn("row", F.xxhash64("chunk_id"))
+        near = dense.search(vectors, self._asked(queries), "row", "qn", "vector", cfg.overfetch * cfg.vector_k)
         near = near.join(children.select(F.col("row").alias("key"), "chunk_id"), "key").join(self._numbers(queries), F.col("query_id") == F.col("qn")).select(F.col("id").alias("query_id"), F.col("chunk_id").alias("key"), "score")
         words = sparse.search(self._chunk_index(), queries, "query_id", "query", cfg.overfetch * cfg.vector_k, cfg)
         hits = fusion.fuse(near, words, cfg.vector_k, cfg)
@@ -176,7 +197,7 @@ class Engine:
         self.store.upsert("qa_pairs", bank.manual_pair(rows).select(*columns), "qa_id")
 
     def delete_document(self, doc_id: str) -> None:
-        self.store.delete_all(["chunks", "qa_pairs", "chunk_postings"], "doc_id", doc_id)
+        self.store.delete_all(["chunks", "qa_pairs", "chunk_postings", "chunk_vectors"], "doc_id", doc_id)
 
     def delete_qa_pair(self, qa_id: str) -> None:
         self.store.delete("qa_pairs", "qa_id", qa_id)
@@ -241,4 +262,4 @@ class Engine:
         return queries.select(F.col("query_id").alias("id"), F.xxhash64("query_id").alias("qn"))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        return models.embed(queries.select(F.xxhash64("query_id").alias("qn"), F.col("query")), "query", "vector", self.embedder)
+        return models.embed(queries.select(F.xxhash64("query_id").alias("qn"), F.col("query")), "query", "vector", self.embedder, optional=True)

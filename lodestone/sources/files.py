@@ -50,13 +50,35 @@ def page_count(files: DataFrame, read_pages: Callable[[bytes], list[str]]) -> Da
     return pdf_pages(files, read_pages)[0].groupBy("doc_id", "doc_name").agg(F.count(F.lit(1)).alias("pages"))
 
 
-def with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """pages with tables and captions (doc_id, page_number, pos, text), each as a paragraph, after their page's text."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", tx.strip(tx.text_or_empty(F.col("text"))).alias("t")))), lambda x: x["t"])
-    more = tables.groupBy("doc_id", "page_number").agg(F.filter(texts, lambda t: t != "").alias("__more"))
-    both = pages.join(more, ["doc_id", "page_number"], "left")
-    parts = F.filter(F.concat(F.array(tx.text_or_empty(F.col("text"))), F.coalesce("__more", F.array().cast("array<string>"))), lambda t: t != "")
-    return both.withColumn("text", F.array_join(parts, "\n\n")).drop("__more")
+def ocr_pages(images: DataFrame, recognise: Callable[[list[bytes]], list[list[tuple[str, float]]]], cache: DataFrame | None = None, window: int = 4) -> DataFrame:
+    """(doc_id, page_number, lines) of page images (doc_id, page_number, image), by a given recogniser (there is none in this repository).
+
+    Each page is read once, in windows of a few; pages in the cache (doc_id, page_number, lines) aren't read
+    again; a window that fails is read page by page, and a page that fails has no lines.
+    """
+    key = ["doc_id", "page_number"]
+    todo = images.where("page_number >= 1").dropDuplicates(key)
+    if cache is not None:
+        todo = todo.join(cache.select(*key), key, "left_anti")
+
+    def one(batch: list[bytes]) -> list[list[tuple[str, float]]]:
+        try:
+            got = recognise(batch)
+            if len(got) == len(batch):
+                return got
+        except Exception:  # whatever the recogniser raises
+            pass
+        return [[]] if len(batch) == 1 else [x for b in batch for x in one([b])]
+
+    def run(parts):
+        for p in parts:
+            images_ = [bytes(x) for x in p.image]
+            found = [x for k in range(0, len(images_), window) for x in one(images_[k : k + window])]
+            yield pd.DataFrame({"doc_id": p.doc_id, "page_number": p.page_number, "lines": [[{"text": t, "conf": float(c)} for t, c in x] for x in found]})
+
+    shape = "doc_id string, page_number int, lines array<struct<text:string,conf:double>>"
+    fresh = todo.select("doc_id", F.col("page_number").cast("int").alias("page_number"), "image").mapInPandas(run, shape)
+    return fresh if cache is None else fresh.unionByName(cache.select(*key, "lines").join(images.select(*key).distinct(), key, "left_semi"))
 
 
 def html_pages(pages: DataFrame) -> DataFrame:

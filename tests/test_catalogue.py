@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_has_rows(spark, sf, name):
-    assert registry.queries()[name](spark, sf).count() > 0 or name in ("running_lines", "evidence_fuzzy_match")
+    assert registry.queries()[name](spark, sf).count() > 0 or name == "evidence_fuzzy_match"  # held against brute force in test_whole.py
 
 
 def test_entry_runs(spark):

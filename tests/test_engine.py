@@ -79,6 +79,20 @@ def test_answers_carry_records_and_audits_fail_closed(spark, engine):
     assert skipped["1"].answered == (skipped["1"].route == "question_bank" and skipped["1"].confidence >= 0.85)
 
 
+def test_a_search_without_an_embedder_goes_by_words(spark, tmp_path):
+    def down(texts):
+        raise OSError("embedder is down")
+
+    rows = [(f"d{k}", "n", 1, f"Words of document {w} that are long enough to be a chunk of their own.") for k, w in enumerate(("yeast", "harbour", "bridge", "kitchen"))]
+    Engine(spark, f"file://{tmp_path}/s").ingest(spark.createDataFrame(rows, ROWS))
+    e = Engine(spark, f"file://{tmp_path}/s", embedder=down)
+    first = e.search_chunks(asked(spark, "the yeast")).first()
+    assert first.score == 1.0 and "yeast" in first.text
+    with pytest.raises(Exception, match="embedder is down"):
+        e.ingest(spark.createDataFrame([("d9", "new", 1, "A new document of some length that is to be indexed now.")], ROWS))
+    assert "d9" not in {r.doc_id for r in e.documents().collect()}
+
+
 def test_reviews_and_manual_entries(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/s")
     e.ingest(spark.createDataFrame([("d", "n", 1, "Bread dough rises because yeast makes carbon dioxide in a warm kitchen. Salt slows the yeast down.")], ROWS))
@@ -155,8 +169,8 @@ def test_files_that_fail_are_reported(spark, tmp_path):
     got, errors = files.pdf_pages(good, reader)
     assert {(r.doc_name, r.page_number, r.text) for r in got.collect()} == {("a.pdf", 1, "one"), ("a.pdf", 2, "two")}
     assert [(r.doc_name, r.error) for r in errors.collect()] == [("b.pdf", "ValueError: cannot read")]
-    more = spark.createDataFrame([(got.first().doc_id, 1, 1, " Table 1 "), (got.first().doc_id, 1, 0, "a | b"), (got.first().doc_id, 1, 2, " ")], "doc_id string, page_number int, pos int, text string")
-    assert {r.page_number: r.text for r in files.with_tables(got, more).collect()} == {1: "one\n\na | b\n\nTable 1", 2: "two"}
+
+
 
 
 def test_html_references(spark):
@@ -179,3 +193,83 @@ def test_rerank_keeps_unusable_orders(spark):
     hits = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("2", "a", 1)], "query_id string, key string, place int")
     orders = spark.createDataFrame([("1", ["b"]), ("2", [])], "query_id string, order array<string>")
     assert {(r.query_id, r.key, r.place) for r in router.reranked(hits, orders).collect()} == {("1", "b", 1), ("2", "a", 1)}
+
+
+def test_sources_of_a_page(spark):
+    rows = [("d", 1, "x" * 100), ("d", 2, "سلام " * 30), ("d", 3, "y" * 100), ("e", 1, "")]
+    p = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    ocr = spark.createDataFrame([("d", 3, [("read", 0.9), ("bad", 0.2), (" ", None), ("too", None)])], "doc_id string, page_number int, lines array<struct<text:string,conf:double>>")
+    spans = spark.createDataFrame([("d", 2, [["a", "b"], [], [" : ", "الاجازات", " ", "انواع"]]), ("d", 1, [["z"]])], "doc_id string, page_number int, spans array<array<string>>")
+    sourced = pages.with_ocr(p, ocr, spans)
+    assert {(r.doc_id, r.page_number): (r.source, r.text) for r in sourced.collect()} == {("d", 1): ("text", "x" * 100), ("d", 2): ("reordered", "ab\nانواع الاجازات : "), ("d", 3): ("ocr", "read\ntoo"), ("e", 1): ("empty", "")}
+    assert [r.doc_id for r in pages.empty_documents(sourced).collect()] == ["e"]
+
+
+def test_tables_and_captions(spark):
+    p = spark.createDataFrame([("d", 1, "Body. Figure 2 here \n"), ("d", 2, "Other")], "doc_id string, page_number int, text string")
+    tables = spark.createDataFrame([("d", 1, 0, [["a", None, "b"], [" ", ""], ["c", "d", "e"]])], "doc_id string, page_number int, pos int, rows array<array<string>>")
+    captions = spark.createDataFrame([("d", 1, 0, "Figure 2 here"), ("d", 1, 1, " Table 1: x "), ("d", 2, 0, "no caption")], "doc_id string, page_number int, pos int, text string")
+    assert {r.page_number: r.text for r in pages.with_extras(p, tables, captions).collect()} == {1: "Body. Figure 2 here\n\na |  | b\nc | d | e\n\nTable 1: x", 2: "Other"}
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    def reader(batch):
+        if b"bad" in batch:
+            raise ValueError
+        return [[(b.decode(), 0.8)] for b in batch]
+
+    images = spark.createDataFrame([("d", k, bytearray(x)) for k, x in ((1, b"one"), (2, b"bad"), (3, b"three"), (3, b"three"), (0, b"none"), (4, b"four"))], "doc_id string, page_number int, image binary")
+    cache = spark.createDataFrame([("d", 4, [("kept", 1.0)]), ("z", 1, [("other", 1.0)])], "doc_id string, page_number int, lines array<struct<text:string,conf:double>>")
+    got = {r.page_number: [x.text for x in r.lines] for r in files.ocr_pages(images, reader, cache).collect()}
+    assert got == {1: ["one"], 2: [], 3: ["three"], 4: ["kept"]}
+
+
+def test_extraction_is_cached_counted_and_goes_across(spark, tmp_path):
+    from lodestone import models
+
+    e = Engine(spark, f"file://{tmp_path}/s")
+    sentence = "Water boils at one hundred degrees at sea level, as measured often."
+    rows = spark.createDataFrame([("good", "g", 1, sentence), ("bad", "b", 1, "This chunk makes the model fail whatever it is that is asked about it."), ("none", "n", 1, "This chunk has no question that anybody could ask, it seems.")], ROWS)
+
+    def ask(text, before, after):
+        if "fail" in text:
+            raise RuntimeError("no answer")
+        if "no question" in text:
+            return "[]"
+        return '<think>x</think>```json\n{"pairs": [{"question": "When does water boil", "answer": "' + sentence + '", "evidence": ["' + sentence + '"], "question_type": "factual"}]}\n```'
+
+    first = e.ingest(rows, extract=models.model_extractor(ask), fingerprint="m1")
+    row = e.last_coverage.first()
+    assert first["n_questions"] == 1 and (row.chunks, row.chunks_failed, row.chunks_empty, row.pairs_kept, row.questions_per_chunk) == (3, 1, 1, 1, 0.33) and "no answer" in row.failure_samples[0]
+
+    def never(text, before, after):
+        raise AssertionError("asked again")
+
+    assert e.ingest(rows, force=True, extract=models.model_extractor(never), fingerprint="m1")["n_questions"] == 1
+    assert e.last_coverage.first().chunks_failed == 1
+    assert e.ingest(rows, force=True, extract=models.model_extractor(never), fingerprint="m2")["n_questions"] == 0
+    calls = []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 3:
+            raise OSError
+        return "ok"
+
+    assert models.with_retries(flaky, wait=0.0)("q") == "ok" and len(calls) == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from lodestone import __main__ as cli
+
+    spark.createDataFrame([(1, "Bread dough rises because yeast makes carbon dioxide in a warm kitchen. Salt slows it down.")], "doc_id int, text string").write.parquet(f"{tmp_path}/docs")
+    base = ["--store", f"file://{tmp_path}/s"]
+    cli.main([*base, "ingest", f"{tmp_path}/docs"])
+    cli.main([*base, "ask", "What is said about Bread dough rises because yeast makes carbon dioxide in?"])
+    cli.main([*base, "documents"])
+    cli.main([*base, "delete", "1"])
+    cli.main([*base, "stats"])
+    out = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert out[0]["n_documents"] == 1 and out[1]["answered"] and out[1]["citations"] and out[2]["doc_id"] == "1" and out[3]["n_documents"] == 0
