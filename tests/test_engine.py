@@ -247,7 +247,8 @@ def test_extraction_is_cached_counted_and_goes_across(spark, tmp_path):
 
     assert e.ingest(rows, force=True, extract=models.model_extractor(never), fingerprint="m1")["n_questions"] == 1
     assert e.last_coverage.first().chunks_failed == 1
-    assert e.ingest(rows, force=True, extract=models.model_extractor(never), fingerprint="m2")["n_questions"] == 0
+    assert e.ingest(rows, force=True, extract=models.model_extractor(never), fingerprint="m2")["n_questions"] == 1  # asked again, failed, and what was there stays
+    assert e.last_coverage.first().chunks_failed == 3
     calls = []
 
     def flaky(x):
