@@ -112,16 +112,31 @@ def train(texts: list[str], labels: list[int], rounds: int = 60, strength: float
     codes, row = [], np.repeat(np.arange(len(y), dtype=np.int32), size)
     col = col.astype(np.int32)
     toxic = np.bincount(col, y[row], len(keep))
+    # sums by text run over the pairs as they are, sums by feature over the pairs sorted by feature
+    full = np.flatnonzero(size)
+    text_starts = np.concatenate([[0], np.cumsum(size)])[full]
+    rows_by_feature = row[np.argsort(col, kind="stable")]
+    feature_starts = np.concatenate([[0], np.cumsum(np.bincount(col, minlength=len(keep)))[:-1]]) if len(keep) else np.zeros(0, np.int64)
+
+    def by_text(value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y))
+        if len(full):
+            out[full] = np.add.reduceat(value[col], text_starts)
+        return out
+
+    def by_feature(value: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(value[rows_by_feature], feature_starts) if len(keep) else np.zeros(0)
+
     ratio = log_ratios(toxic, np.bincount(col, minlength=len(keep)) - toxic, y.sum(), len(y) - y.sum())
     # a text's scaled features have length 1 on average, so that one step suits all samples
-    scale = ratio / max(1e-9, float(np.sqrt(np.bincount(row, (ratio * ratio)[col], len(y)).mean())))
+    scale = ratio / max(1e-9, float(np.sqrt(by_text(ratio * ratio).mean())))
     w, b = np.zeros(len(keep)), float(np.log(prior / (1 - prior)))
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     speed, speed_b = np.zeros_like(w), 0.0
     for _ in range(rounds):
-        z = np.bincount(row, (scale * w)[col], len(y)) + b
+        z = by_text(scale * w) + b
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        speed = 0.9 * speed + scale * np.bincount(col, g[row], len(keep)) + strength * w
+        speed = 0.9 * speed + scale * by_feature(g) + strength * w
         speed_b = 0.9 * speed_b + g.sum()
         w, b = w - step * speed, b - step * speed_b
     weight[keep] = w * scale
