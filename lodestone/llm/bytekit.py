@@ -18,7 +18,20 @@ INVERSE = pow(BASE, -1, 1 << 64)
 
 _POWERS: dict[int, np.ndarray] = {}
 #: Powers kept by a worker; more are made anew when asked for, as workers outlive tasks.
-KEPT_POWERS = 1 << 20
+KEPT_POWERS = 1 << 19
+
+
+def _give_back() -> None:
+    """Have freed arrays of a megabyte or more returned to the system at once; by default the allocator learns to keep larger and larger ones."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass
+
+
+_give_back()
 
 
 def release() -> None:

@@ -42,16 +42,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm import anchors
-from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, span_hash
+from lodestone.llm.bytekit import byte_codes, mix, pieces, prefix_hash, raw, release, span_hash
 from lodestone.llm.store import small_batches, written
 
 LENGTH = 100
 #: Bytes of text that a task takes together: for its anchors, and for the blocks it packs.
-UNIT = 24 << 20
+UNIT = 12 << 20
 #: Surroundings from which on a k-gram's windows are dealt out one by one.
 CROWD = 1000
 #: Blocks of the exchanges: so many at least, and one more for so many bytes of text.
-LEAST_BLOCKS, BLOCK_BYTES = 128, 4 << 20
+LEAST_BLOCKS, BLOCK_BYTES = 128, 2 << 20
 WINDOW_CODES = byte_codes(103)
 ROWS = "block int, kind int, body binary"
 ANCHORS, REPEATS, SORT, SORT_ALONE, TEXTS, RUN = range(6)
@@ -141,7 +141,7 @@ def anchor_rows(length: int, blocks: int, doc_blocks: int) -> Callable:
         for batch in batches:
             data, offsets = raw(batch.column("text"))
             ids, keys = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("__id", "__text_key"))
-            for i, j in pieces(offsets, 1 << 20):
+            for i, j in pieces(offsets, 1 << 19):
                 a = anchors.find(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 if len(a):
                     found.append([a.gram, a.whole, ids[i + a.row], keys[i + a.row], a.first, a.last - a.first])
@@ -152,6 +152,8 @@ def anchor_rows(length: int, blocks: int, doc_blocks: int) -> Callable:
                     found, held = [], 0
         if found and (out := flush(found)):
             yield out
+        del found
+        release()
 
     return run
 
@@ -205,6 +207,8 @@ def pack_documents(doc_blocks: int) -> Callable:
                 held, size = [], 0
         if held:
             yield flush(held)
+        del held
+        release()
 
     return run
 
