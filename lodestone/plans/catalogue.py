@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.config import DIFFICULTIES, EngineConfig
+from lodestone.config import DIFFICULTIES, QUESTION_TYPES, EngineConfig
 from lodestone.functions import text as tx
 from lodestone.operators import answers, bank, chunker, dense, fusion, grounding, pages, records, router, similar, sparse
 from lodestone.sources import files, scratch
@@ -434,3 +434,171 @@ def daily_event_rollup(spark, d):
 def conversation_roles(spark, d):
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(turns, lambda t: t["role"]), ",").alias("roles"))
+
+
+SQL_STRIP = f"^{SQL_SPACE}+|{SQL_SPACE}+$"
+
+
+@query(
+    f"""with t as (select source as doc_id, doc_id as page, length({sql_one_space("text")})::bigint as chars, regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g') as letters from documents),
+l as (select *, case when chars < {CFG.ocr_min_chars} then 'empty' when length(letters) > 0 and (length(letters) - length(regexp_replace(letters, '{tx.RTL}', '', 'g')))::double / length(letters) > {CFG.ocr_rtl_ratio} then 'unreliable' else 'ok' end as layer from t)
+select doc_id, count(*) as pages, count(*) filter (layer = 'ok') as pages_ok, count(*) filter (layer = 'empty') as pages_empty, count(*) filter (layer = 'unreliable') as pages_unreliable, count(*) filter (layer <> 'ok') as pages_to_ocr,
+coalesce(string_agg(page::varchar, ',' order by page) filter (layer <> 'ok'), '') as degraded_pages, sum(chars)::bigint as total_chars from l group by doc_id"""
+)
+def page_report_summary(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page_number"), "text")
+    return pages.report_summary(pages.report(rows, CFG)).withColumn("degraded_pages", F.concat_ws(",", "degraded_pages")).withColumn("total_chars", F.col("total_chars").cast("long"))
+
+
+@query("select count(*) as pairs, count(distinct doc_id) as chunks_covered, 1.0::double as evidence_per_pair, round(avg(length(substr(text, length(split_part(text, chr(10), 1)) + 2))), 1)::double as answer_chars from labels join documents using (doc_id)")
+def extraction_totals(spark, d):
+    rows = _bank(spark, d).withColumn("chunk_id", F.col("qa_id")).withColumn("evidence", F.array("question"))
+    return bank.extraction_report(rows)["totals"]
+
+
+@query("select event_type as query, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last from events group by 1 order by max(ts) desc, 1 limit 8")
+def search_history(spark, d):
+    events = table(spark, d, "events").select(F.col("event_type").alias("query"), "ts")
+    return records.history(events).select("query", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("last"))
+
+
+@query("select event_type as kind, count(*) as n, count(*) filter (value > 50) as answered from events group by 1")
+def metrics_totals(spark, d):
+    return records.totals(table(spark, d, "events").select(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("answered")))
+
+
+@query(
+    """with p as (select conv_id, turn, text as first, lead(text) over (partition by conv_id order by turn) as second from conversations),
+q as (select *, row_number() over (partition by conv_id order by turn) - 1 as k, count(*) over (partition by conv_id) as n from p where second is not null)
+select conv_id, turn, md5(first) as first, md5(second) as second from q where n <= 3 or k = 0 or floor(k * 3 / n) <> floor((k - 1) * 3 / n)"""
+)
+def adjacent_pairs(spark, d):
+    return chunker.adjacent_pairs(table(spark, d, "conversations"), "conv_id", "turn", "text", 3).select("conv_id", "turn", F.md5("first").alias("first"), F.md5("second").alias("second"))
+
+
+@query("select count(*) filter (lang <> 'fr') as documents, count(*) filter (lang = 'fr') as failed, count(*)::bigint as pages, sum(n_chars)::bigint as chunks, sum(length(source))::bigint as questions, sum(n_chars / 4.0)::double as elapsed, sum(case when lang = 'de' then 2 else 0 end)::bigint as ocr_pages from documents")
+def ingest_totals(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.lit(1).alias("pages"), F.when(F.col("lang") == "de", F.array(F.lit(1), F.lit(2))).alias("ocr_pages"), F.col("n_chars").alias("chunks"), F.length("source").alias("questions"), (F.col("n_chars") / 4.0).alias("elapsed"), F.when(F.col("lang") == "fr", "broken").alias("error"))
+    return records.batch_totals(rows)
+
+
+@query(
+    """with r as (select source, count(*) filter (lang = 'fr') as n_fr, count(*) filter (lang = 'en') as n_en from documents group by source),
+p as (select count(*) as kept from documents where lang = 'en')
+select count(*) as chunks, count(*) filter (n_fr > 0) as chunks_failed, count(*) filter (n_fr = 0 and n_en = 0) as chunks_empty,
+array_to_string(list_slice(coalesce(list(source || ': failed' order by source) filter (n_fr > 0), []), 1, 8), '|') as failure_samples, any_value(kept) as pairs_kept, round(any_value(kept) / count(*), 2)::double as questions_per_chunk from r cross join p"""
+)
+def extraction_coverage(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("chunk_id"), F.when(F.col("lang") == "en", F.col("text")).alias("question"), F.when(F.col("lang") == "fr", "failed").alias("error"))
+    out = records.coverage(docs.select("chunk_id"), docs, docs.where("question is not null"))
+    return out.withColumn("failure_samples", F.concat_ws("|", "failure_samples"))
+
+
+@query("select doc_id, case when doc_id % 3 = doc_id % 5 then 'p. ' || (doc_id % 3) else 'pp. ' || (doc_id % 3) || '-' || (doc_id % 5) end as label, source || ', ' || case when doc_id % 3 = doc_id % 5 then 'p. ' || (doc_id % 3) else 'pp. ' || (doc_id % 3) || '-' || (doc_id % 5) end as citation from documents")
+def page_labels(spark, d):
+    label = tx.page_label(F.col("doc_id") % 3, F.col("doc_id") % 5)
+    return table(spark, d, "documents").select("doc_id", label.alias("label"), tx.citation(F.col("source"), label).alias("citation"))
+
+
+@query(
+    f"""with r as (select conv_id, turn, case turn % 4 when 0 then 'INSUFFICIENT_CONTEXT' when 1 then coalesce(text, '') || chr(10) || 'insufficient_context: rest' when 2 then '**Insufficient_Context** ' || substr(coalesce(text, ''), 1, 20) else coalesce(text, '') end as t from conversations),
+x as (select *, regexp_replace(regexp_replace(t, '(?i)INSUFFICIENT_CONTEXT', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as rest from r)
+select conv_id, turn, regexp_replace(t, '{SQL_STRIP}', '', 'g') = '' or (contains(upper(t), 'INSUFFICIENT_CONTEXT') and length(rest) <= 60) as insufficient,
+md5(regexp_replace(regexp_replace(regexp_replace(t, '(?im)^.*INSUFFICIENT_CONTEXT.*$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '{SQL_STRIP}', '', 'g')) as rest from x"""
+)
+def refusal_sentinel(spark, d):
+    text, case = tx.text_or_empty(F.col("text")), F.col("turn") % 4
+    reply = F.when(case == 0, "INSUFFICIENT_CONTEXT").when(case == 1, F.concat(text, F.lit("\ninsufficient_context: rest"))).when(case == 2, F.concat(F.lit("**Insufficient_Context** "), F.substring(text, 1, 20))).otherwise(text)
+    return table(spark, d, "conversations").select("conv_id", "turn", answers.is_insufficient(reply).alias("insufficient"), F.md5(answers.strip_sentinel(reply)).alias("rest"))
+
+
+@query("select event_id, event_type = 'click' and value >= 85 as skipped from events")
+def audit_skips(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", "question_bank").otherwise("hybrid").alias("route"), (F.col("value") / 100).alias("confidence"))
+    return rows.select("event_id", answers.may_skip_audit(CFG).alias("skipped"))
+
+
+SQL_WORDS = "[" + ", ".join(f"'{x}'" for x in QUESTION_TYPES) + "]"
+
+
+@query(
+    f"""with l as (select conv_id, turn, case turn % 5 when 0 then 'Multi-Hop reasoning' when 1 then ' FACTUAL ' when 2 then 'quant' when 3 then role else null end as label from conversations),
+s as (select *, regexp_replace(regexp_replace(lower(regexp_replace(coalesce(label, ''), '{SQL_STRIP}', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as slug from l),
+c as (select *, list_filter({SQL_WORDS}, lambda v: starts_with(v, slug) or starts_with(slug, v)) as near from s)
+select conv_id, turn, case when list_contains({SQL_WORDS}, slug) then slug when slug <> '' and len(near) > 0 then near[1] else 'conceptual' end as kind from c"""
+)
+def vocabulary_labels(spark, d):
+    k = F.col("turn") % 5
+    label = F.when(k == 0, "Multi-Hop reasoning").when(k == 1, " FACTUAL ").when(k == 2, "quant").when(k == 3, F.col("role"))
+    return table(spark, d, "conversations").select("conv_id", "turn", tx.coerce_vocabulary(label, QUESTION_TYPES, "conceptual").alias("kind"))
+
+
+@query(
+    f"""with r as (select conv_id, turn, regexp_replace(case turn % 3 when 0 then 'According to the passage, as stated in the text, ' when 1 then ' The document explains that ' else '' end || coalesce(text, ''), '{SQL_STRIP}', '', 'g') as t from conversations),
+c as (select *, regexp_replace(regexp_replace(t, '{tx.HEDGE}', ''), '{tx.HEDGE}', '') as o from r)
+select conv_id, turn, md5(upper(substr(o, 1, 1)) || substr(o, 2)) as answer from c"""
+)
+def clean_answers(spark, d):
+    k = F.col("turn") % 3
+    opening = F.when(k == 0, "According to the passage, as stated in the text, ").when(k == 1, " The document explains that ").otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(tx.clean_answer(F.concat(opening, tx.text_or_empty(F.col("text"))))).alias("answer"))
+
+
+@query(
+    f"""with l as (select doc_id, case doc_id % 6 when 0 then 'Page ' || doc_id when 1 then '- ' || (doc_id % 90) || ' -' when 2 then 'xiv' when 3 then (doc_id % 90) || ' of 340' when 4 then 'Chapter ' || doc_id || ' - The  END' else source end as line from documents)
+select doc_id, regexp_matches(line, '{tx.FOLIO_LINES[0]}') or regexp_matches(line, '{tx.FOLIO_LINES[1]}') as folio, lower(trim(regexp_replace(regexp_replace(regexp_replace(line, '\\p{{Nd}}+', '', 'g'), '[^\\p{{L}}\\p{{N}}_{SQL_INNER}]+', ' ', 'g'), '{SQL_SPACE}+', ' ', 'g'))) as key from l"""
+)
+def line_keys(spark, d):
+    k, n = F.col("doc_id") % 6, (F.col("doc_id") % 90).cast("string")
+    line = F.when(k == 0, F.concat(F.lit("Page "), "doc_id")).when(k == 1, F.concat(F.lit("- "), n, F.lit(" -"))).when(k == 2, "xiv").when(k == 3, F.concat(n, F.lit(" of 340"))).when(k == 4, F.concat(F.lit("Chapter "), "doc_id", F.lit(" - The  END"))).otherwise(F.col("source"))
+    return table(spark, d, "documents").select("doc_id", tx.is_folio(line).alias("folio"), tx.repeat_key(line).alias("key"))
+
+
+@query("select doc_id, md5(" + sql_plain("coalesce(text, chr(39)) || ' “q” — it’s… ﬁne' || chr(13) || chr(10) || 'x'") + ") as digest from documents")
+def plain_texts(spark, d):
+    text = F.concat(F.coalesce("text", F.lit("'")), F.lit(" “q” — it’s… ﬁne\r\nx"))
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.plain_unicode(text)).alias("digest"))
+
+
+@query(
+    f"""with w as (select conv_id, turn, list_distinct({sql_tokens("text")}) as w from conversations),
+t as (select conv_id, turn, w, lag(w) over (partition by conv_id order by turn) as p from w),
+j as (select conv_id, turn, len(list_intersect(w, p)) as i, len(w) + len(p) - len(list_intersect(w, p)) as u from t where p is not null)
+select conv_id, turn, round(case when u = 0 then 1.0 else i / u end, 6)::double as jaccard from j"""
+)
+def turn_similarity(spark, d):
+    words = F.array_distinct(tx.tokens(F.col("text")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", words.alias("w")).withColumn("p", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return rows.where("p is not null").select("conv_id", "turn", F.round(tx.jaccard(F.col("w"), F.col("p")), 6).alias("jaccard"))
+
+
+@query(
+    f"""with {DENSE}, h as (select query_id, key, rank from dense where rank <= {CFG.vector_k})
+select query_id, key, (case when query_id % 2 = 0 then 4 - rank else rank end)::int as place from h where query_id % 2 = 1 or rank <= 3"""
+)
+def reranked_hits(spark, d):
+    """Even queries are given their first three hits in reverse, odd ones an order that can't be used."""
+    hits = scratch.written(_dense(spark, d).where(F.col("rank") <= CFG.vector_k).select("query_id", "key", F.col("rank").alias("place")), "hits")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("place")).alias("p"), "key"))), lambda x: x["key"])
+    orders = hits.where("place <= 3").groupBy("query_id").agg(listed.alias("order")).withColumn("order", F.when(F.col("query_id") % 2 == 0, F.col("order")).otherwise(F.array(F.lit(-1).cast("long"))))
+    return router.reranked(hits, orders).select("query_id", "key", F.col("place").cast("int").alias("place"))
+
+
+@query(
+    """with old as (select 'r' || doc_id as review_id, 'old ' || lang as question, source as answer, 'a' as created_at, case when doc_id % 2 = 0 then 'b' else 'a' end as updated_at, 'refused' as route from documents),
+new as (select 'r' || item_id as review_id, 'new' as question, '' as answer, 'c' as created_at, 'c' as updated_at, 'hybrid' as route from benchmark)
+select coalesce(o.review_id, n.review_id) as review_id, case when n.review_id is null or o.updated_at <> o.created_at then o.question else n.question end as question, case when n.review_id is null or (o.updated_at <> o.created_at and o.answer <> '') then o.answer else n.answer end as answer,
+coalesce(o.created_at, n.created_at) as created_at, coalesce(n.updated_at, o.updated_at) as updated_at, coalesce(n.route, o.route) as route from old o full join new n on o.review_id = n.review_id"""
+)
+def reviews_merged(spark, d):
+    when = F.when(F.col("doc_id") % 2 == 0, "b").otherwise("a")
+    old = table(spark, d, "documents").select(F.concat(F.lit("r"), "doc_id").alias("review_id"), F.concat(F.lit("old "), "lang").alias("question"), F.col("source").alias("answer"), F.lit("a").alias("created_at"), when.alias("updated_at"), F.lit("refused").alias("route"))
+    new = table(spark, d, "benchmark").select(F.concat(F.lit("r"), "item_id").alias("review_id"), F.lit("new").alias("question"), F.lit("").alias("answer"), F.lit("c").alias("created_at"), F.lit("c").alias("updated_at"), F.lit("hybrid").alias("route"))
+    return records.merge_reviews(old, new)
+
+
+@query("select d.doc_id as review_id, case when l.doc_id is null then 'manual' else d.doc_id::varchar end as doc_id, case when l.doc_id is null then 'Manual entries' else source end as doc_name, case when l.doc_id is null then 0 else 7 end as page_start from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id")
+def orphan_reviews(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("doc_name"), F.lit(7).alias("page_start"))
+    known = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("doc_id"))
+    return records.with_provenance(rows, known)

@@ -1,11 +1,7 @@
 """Schemas of the engine's tables."""
 
 PAGES = "doc_id string, doc_name string, page_number int, text string"
-PAGE_REPORT = "doc_id string, page int, chars int, images int, rtl_ratio double, layer string, will_ocr boolean, source string"
 CHUNKS = "chunk_id string, doc_id string, doc_name string, text string, page_start int, page_end int, section string, ordinal int, parent_id string, chunk_kind string"
-PAIR = "struct<question:string,answer:string,question_type:string,difficulty:string,evidence:array<string>,paraphrases:array<string>,keywords:array<string>>"
-RAW_PAIRS = f"chunk_id string, pairs array<{PAIR}>"
 QA_PAIRS = "qa_id string, question string, answer string, question_type string, difficulty string, evidence array<string>, paraphrases array<string>, keywords array<string>, chunk_id string, doc_id string, doc_name string, page_start int, page_end int, section string"
-GOLDEN = "id string, query string, expect_route array<string>, expect_answered boolean, must_contain array<string>"
 REVIEWS = "review_id string, query string, question string, answer string, route string, evidence array<string>, created_at string, updated_at string, source_qa_id string, chunk_id string, doc_id string, doc_name string, section string, question_type string, difficulty string, page_start int, page_end int, paraphrases array<string>, keywords array<string>"
 METRICS = "ts double, kind string, route string, answered boolean, confidence double, groundedness double, elapsed double, ocr_pages int, questions int, chunks int"

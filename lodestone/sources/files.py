@@ -115,12 +115,6 @@ def cache_key(doc_id, ordinal, text, neighbours: bool = True, fingerprint: str =
     return F.sha2(F.concat(doc_id, zero, ordinal.cast("string"), zero, text, zero, F.lit(f"neighbors={int(neighbours)}{fingerprint}")), 256)
 
 
-def split_by_cache(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with their pairs, misses) of chunks with a digest; a cached entry that can't be read is a miss."""
-    read = cache.select("digest", F.from_json("payload", f"array<{schemas.PAIR}>", {"mode": "PERMISSIVE"}).alias("pairs")).where("pairs is not null")
-    return chunks.join(read, "digest"), chunks.join(read, "digest", "left_anti")
-
-
 def metrics_or_empty(spark: SparkSession, path: str) -> DataFrame:
     """Metrics events of JSON lines; what can't be read is left out."""
     try:
