@@ -3,10 +3,13 @@
 Jaccard distance is a metric, but almost all pairs of unrelated documents are at distance 1, where a
 document as pivot says nothing. So the outermost pivots are single n-grams: a document is nearest to the
 n-grams that it holds, and two documents within the radius share at least l of the first n - ceil(t n) + l
-of their n-grams in any common order (here: frequent ones last, else by hash; l is SHARED of n). Each such
-n-gram is a region of the documents that hold it there, cut where sizes differ too much. Documents with
-fewer than l shared n-grams among their first have no link and leave; each of the others leaves up to
-(l - 1) / 2 of its regions, the most crowded ones, which parts no pair. Overlapping regions are united.
+of their n-grams in any common order (here: frequent ones last, else by hash; l is SHARED of n). Documents
+with fewer than l shared n-grams among their first have no link and leave. Of those that are left all
+n-grams are counted, so that the order is now by how many of them hold an n-gram: each n-gram is a region of
+the documents that hold it, cut where sizes differ too much. Two linked documents share at least 1 - t of
+either's n-grams, so a document stays only in its rarest regions, all but the most crowded ones that together
+have fewer n-grams than that; the order is common, so this parts no pair. Documents that only have lines
+or passages in common, however many hold them, so meet in no region. Overlapping regions are united.
 
 Inside a region, documents are pivots. A document within the radius r of its nearest pivot is linked to
 it, and so to all others there: that is the pivot's cell. What remains to be found are links that cross
@@ -154,16 +157,22 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + int(least_shared(n))
 
 
-def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Callable:
-    """The first n-grams of each set, packed by n-gram: (n-gram, set, size)."""
+POSTINGS = "block int, body binary"
+
+
+def packed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], blocks: int, short: int = 0) -> pa.RecordBatch:
+    """(n-gram less its `short` last bits, set, size) packed by n-gram."""
     from lodestone.llm.suffixdedup import by_block, pack
 
-    def flush(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        token, node, n = (np.concatenate(c) for c in zip(*found))
-        rows = []
-        for b, at in by_block(((token >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)):
-            rows.append((b, pack((token[at] >> np.uint64(16)).astype("<u8"), node[at].astype("<i8"), n[at].astype("<i4"))))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
+    token, node, n = (np.concatenate(c) for c in zip(*found))
+    rows = []
+    for b, at in by_block(((token >> np.uint64(16)) % np.uint64(blocks)).astype(np.int64)):
+        rows.append((b, pack((token[at] >> np.uint64(short)).astype("<u8"), node[at].astype("<i8"), n[at].astype("<i4"))))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "body"])
+
+
+def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Callable:
+    """The first n-grams of each set, packed by n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size, met = [], 0, set()
@@ -183,39 +192,79 @@ def postings(words: int, percent: int, frequent: np.ndarray, blocks: int) -> Cal
             size += nbytes
             if size >= UNIT:
                 if found:
-                    yield flush(found)
+                    yield packed(found, blocks, 16)
                 found, size, met = [], 0, set()
         if found:
-            yield flush(found)
+            yield packed(found, blocks, 16)
         del found, met
         release()
 
     return run
 
 
-SHARES = "gram bigint, node bigint, n bigint, seen bigint, weight bigint, sets bigint"
+def all_postings(blocks: int) -> Callable:
+    """All n-grams of each set, packed by n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+        for batch in batches:
+            for node, body in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
+                own = np.frombuffer(body, "<u8")
+                found.append((own, np.full(len(own), node), np.full(len(own), len(own), np.int32)))
+                size += len(body)
+                if size >= UNIT:
+                    yield packed(found, blocks)
+                    found, size = [], 0
+        if found:
+            yield packed(found, blocks)
+        del found
+        release()
+
+    return run
+
+
+def shared_in(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, set, size) of all n-grams in a group that several sets hold whose sizes leave no gap."""
+    from lodestone.llm.suffixdedup import gathered
+
+    token, node, n = gathered(group.column("body").to_pylist(), "<u8", "<i8", "<i4")
+    order = np.lexsort((node, n, token))
+    token, node, n = token[order], node[order], n[order].astype(np.int64)
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, n = token[fresh], node[fresh], n[fresh]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+    number = np.cumsum(new) - 1
+    many = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
+    return mix(token * FACTORS[60] + number.astype(np.uint64)).view(np.int64)[many], node[many], n[many]
+
+
+SEEN = "node bigint, n bigint, seen bigint"
+
+
+def shared_counts(percent: int) -> Callable:
+    """Where all first n-grams of a kind meet: how many of them each set shares."""
+
+    def run(group: pa.Table) -> pa.Table:
+        _, node, n = shared_in(group, percent)
+        who, at, seen = np.unique(node, return_index=True, return_counts=True)
+        return pa.table({"node": pa.array(who), "n": pa.array(n[at]), "seen": pa.array(seen.astype(np.int64))})
+
+    return run
+
+
+SHARES = "gram bigint, node bigint, n bigint, weight bigint, sets bigint"
 
 
 def shared_grams(percent: int) -> Callable:
-    """Where all first n-grams of a kind meet: (region of an n-gram, set), and how many of its first n-grams each set shares.
+    """Where all n-grams of a kind meet: (region of an n-gram, set).
 
     N-grams that exactly the same sets share are one region, with their number as its weight.
     """
-    from lodestone.llm.suffixdedup import gathered
 
     def run(group: pa.Table) -> pa.Table:
-        token, node, n = gathered(group.column("body").to_pylist(), "<u8", "<i8", "<i4")
-        order = np.lexsort((node, n, token))
-        token, node, n = token[order], node[order], n[order].astype(np.int64)
-        fresh = np.ones(len(token), bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-        token, node, n = token[fresh], node[fresh], n[fresh]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
-        number = np.cumsum(new) - 1
-        many = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
-        gram = mix(token * FACTORS[60] + number.astype(np.uint64)).view(np.int64)[many]
-        node, n = node[many], n[many]
+        gram, node, n = shared_in(group, percent)
         heads = np.flatnonzero(np.diff(gram, prepend=gram[:1] + 1)) if len(gram) else np.zeros(0, np.int64)
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(node.view(np.uint64)))])
         ends = np.append(heads[1:], len(gram)).astype(np.int64)
@@ -223,14 +272,12 @@ def shared_grams(percent: int) -> Callable:
         keep = np.concatenate([np.arange(heads[k], ends[k]) for k in first]) if len(first) else heads
         size = ends[first] - heads[first]
         weight, sets = np.repeat(alike, size), np.repeat(size, size)
-        who, at, seen = np.unique(node, return_index=True, return_counts=True)
-        nulls = lambda k: pa.nulls(k, pa.int64())
-        return pa.table({"gram": pa.concat_arrays([pa.array(gram[keep]), nulls(len(who))]), "node": pa.array(np.concatenate([node[keep], who])), "n": pa.array(np.concatenate([n[keep], n[at]])), "seen": pa.concat_arrays([nulls(len(keep)), pa.array(seen.astype(np.int64))]), "weight": pa.concat_arrays([pa.array(weight.astype(np.int64)), nulls(len(who))]), "sets": pa.concat_arrays([pa.array(sets.astype(np.int64)), nulls(len(who))])})
+        return pa.table({"gram": pa.array(gram[keep]), "node": pa.array(node[keep]), "n": pa.array(n[keep]), "weight": pa.array(weight.astype(np.int64)), "sets": pa.array(sets.astype(np.int64))})
 
     return run
 
 
-SETS = "region bigint, bin int, node bigint, n bigint, tokens binary"
+SETS = "node bigint, n bigint, tokens binary"
 
 
 def fetch_sets(words: int) -> Callable:
@@ -241,7 +288,7 @@ def fetch_sets(words: int) -> Callable:
             ask = part.column("node").to_numpy()
             at = np.flatnonzero(set_hash(tokens, bounds) == ask)  # another text of the same id isn't meant
             body = [tokens[bounds[r] : bounds[r + 1]].tobytes() for r in at]
-            yield pa.RecordBatch.from_arrays([part.column("region").take(pa.array(at)), part.column("bin").take(pa.array(at)), pa.array(ask[at]), pa.array(np.diff(bounds)[at]), pa.array(body, pa.binary())], names=["region", "bin", "node", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(ask[at]), pa.array(np.diff(bounds)[at]), pa.array(body, pa.binary())], names=["node", "n", "tokens"])
         release()
 
     return run
@@ -470,23 +517,27 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int
         listed = often.orderBy(F.desc("seen"), "token").limit(most).select("token").collect()
         common = np.sort(np.array([r[0] for r in listed], np.int64).view(np.uint64))
         blocks = LEAST_BLOCKS + int(8 * tokens) // BLOCK_BYTES
-        near = written(rows.mapInArrow(postings(words, percent, common, blocks), "block int, body binary").groupBy("block").applyInArrow(shared_grams(percent), SHARES), "shared")
         # a partner has at least percent of a set's n-grams, so it asks for l of that many at least
         needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * SHARED).cast("long"))
-        able = near.where(F.col("seen").isNotNull()).groupBy("node").agg(F.sum("seen").alias("seen"), F.first("n").alias("n")).where(F.col("seen") >= needed).select("node")
-        # two partners share l n-grams at least, so each may leave out (l - 1) / 2: those that most sets share
-        spare = F.floor((needed - 1) / 2)
+        met_first = rows.mapInArrow(postings(words, percent, common, blocks), POSTINGS).groupBy("block").applyInArrow(shared_counts(percent), SEEN)
+        able = written(met_first.groupBy("node").agg(F.sum("seen").alias("seen"), F.first("n").alias("n")).where(F.col("seen") >= needed).select("node"), "able")
+        nodes = written(docs_of.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
+        asked = written(nodes.join(able, "node", "left_semi").select("id", "node"), "asked")
+        left = written(join_small(rows, asked, ["id"], "inner", ASKED_ROWS).select("text", "node").mapInArrow(fetch_sets(words), SETS).dropDuplicates(["node"]), "left")
+        # now all n-grams of the sets left: partners share at least percent of either's, so of each set's, rarest first in an
+        # order that all sets have in common, the first that they share stands before the last (least - 1)
+        blocks = LEAST_BLOCKS + int(8 * (left.agg(F.sum("n")).first()[0] or 0)) // (BLOCK_BYTES // 4)
+        near = written(left.mapInArrow(all_postings(blocks), POSTINGS).groupBy("block").applyInArrow(shared_grams(percent), SHARES), "shared")
+        least = F.ceil(F.col("n") * percent / 100)
         upto = F.sum("weight").over(Window.partitionBy("node").orderBy(F.desc("sets"), "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        rare = near.where(F.col("gram").isNotNull()).join(able, "node", "left_semi").withColumn("upto", upto).where(F.col("upto") > spare)
-        held = written(rare.select("gram", "node"), "held")
+        held = written(near.withColumn("upto", upto).where(F.col("upto") >= least).select("gram", "node"), "held")
         heads = held.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select("gram", "a")
         regions = components(held.join(heads, "gram").select("a", F.col("node").alias("b")))
-        nodes = written(docs_of.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n")), "nodes")
-        asked = with_bins(nodes.join(regions, "node").select("id", "node", "n", F.col("component").alias("region")), region_tokens)
         drop(near)
         drop(held)
-        asked = written(asked.select("id", "node", "region", "bin"), "asked")
-        sets = written(join_small(rows, asked, ["id"], "inner", ASKED_ROWS).select("text", "node", "region", "bin").mapInArrow(fetch_sets(words), SETS), "sets")
+        regions = written(with_bins(left.select("node", "n").join(regions, "node").select("node", "n", F.col("component").alias("region")), region_tokens).select("node", "region", "bin"), "regions")
+        sets = written(join_small(left, regions, ["node"], "inner", ASKED_ROWS), "sets")
+        drop(left)
         links = sets.where(F.col("bin").isNotNull()).groupBy("bin").applyInArrow(join_regions(percent), EDGES)
         links = links.unionByName(split_regions(sets.where(F.col("bin").isNull()).drop("bin"), percent, region_tokens, pivots))
         linked = components(links)

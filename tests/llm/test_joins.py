@@ -64,6 +64,22 @@ def test_jaccard_classes(spark, copies, tokens, pivots):
     assert Counter(map(tuple, jaccardjoin.join(df, region_tokens=tokens, pivots=pivots, frequent=0.05).collect())) == classes(copies)
 
 
+def test_passages_alone_make_no_region(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passages = [[word() for _ in range(14)] for _ in range(12)]
+    docs = []
+    for k in range(400):
+        a, b = r.sample(passages, 2)
+        docs.append((k, " ".join([word() for _ in range(6)] + a + [word() for _ in range(6)] + b)))
+    docs += [(1000 + k, docs[k][1] + " " + word()) for k in range(3)]
+    large, split = [], jaccardjoin.split_regions
+    monkeypatch.setattr(jaccardjoin, "split_regions", lambda sets, *a: large.append(sets.count()) or split(sets, *a))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert Counter(map(tuple, jaccardjoin.join(df, frequent=0.5, region_tokens=3000).collect())) == classes(docs)
+    assert large == [0]  # each passage is held by some 67 documents, which have nothing else in common
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccardjoin.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
