@@ -50,8 +50,9 @@ LENGTH = 100
 UNIT = 12 << 20
 #: Surroundings from which on a k-gram's windows are dealt out one by one.
 CROWD = 1000
-#: Blocks of the exchanges: so many at least, and one more for so many bytes of text.
-LEAST_BLOCKS, BLOCK_BYTES = 128, 2 << 20
+#: Blocks of the exchanges: so many at least, and one more for so many bytes of text; of the exchanges by k-gram one for
+#: GRAM_SHARE times as many, as each of their blocks hands each block of documents a row, which must not become tiny.
+LEAST_BLOCKS, BLOCK_BYTES, GRAM_SHARE = 128, 2 << 20, 16
 WINDOW_CODES = byte_codes(103)
 ROWS = "block int, kind int, body binary"
 ANCHORS, REPEATS, SORT, SORT_ALONE, TEXTS, RUN = range(6)
@@ -122,14 +123,14 @@ def earliest(gram: np.ndarray, whole: np.ndarray, ids: np.ndarray, first: np.nda
     return order, (d == d[head]) & (f == f[head]), begins
 
 
-def anchor_rows(length: int, blocks: int, doc_blocks: int) -> Callable:
+def anchor_rows(length: int, blocks: int) -> Callable:
     """Step 1 on the side of the texts: anchors packed by k-gram, one of each class; the other ones are repeats already."""
 
     def flush(found: list[list[np.ndarray]]) -> pa.RecordBatch | None:
         gram, whole, ids, keys, first, more = (np.concatenate(c) for c in zip(*found))
         order, leads, _ = earliest(gram, whole, ids, first)
         late = order[~leads]
-        rows = [(b % blocks, REPEATS, body) for b, _, body in marks_by_block(REPEATS, [ids[late], keys[late], first[late], first[late] + more[late]], doc_blocks)]
+        rows = list(marks_by_block(REPEATS, [ids[late], keys[late], first[late], first[late] + more[late]], blocks))
         at = order[leads]
         for b, part in by_block(((gram[at] >> np.uint64(20)) % np.uint64(blocks)).astype(np.int64)):
             part = at[part]
@@ -270,7 +271,7 @@ def read_run(body: bytes) -> tuple[list[np.ndarray], list[bytes], list[bytes]]:
     return columns, suffixes, before
 
 
-def suffix_runs(length: int, blocks: int, doc_blocks: int) -> Callable:
+def suffix_runs(length: int, blocks: int) -> Callable:
     """Step 2 on the side of the texts: sorted, front-coded runs of the suffixes that were asked for."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -295,7 +296,7 @@ def suffix_runs(length: int, blocks: int, doc_blocks: int) -> Callable:
                 code = mix(span_hash(prefix_hash(data, WINDOW_CODES), at, at + length))
                 order, leads, _ = earliest(code, code, block.ids[row], start)
                 late = order[~leads]
-                rows += [(b % blocks, REPEATS, x) for b, _, x in marks_by_block(REPEATS, [block.ids[row[late]], block.keys[row[late]], start[late], start[late]], doc_blocks)]
+                rows += marks_by_block(REPEATS, [block.ids[row[late]], block.keys[row[late]], start[late], start[late]], blocks)
                 for o in order[leads].tolist():
                     c, a = int(code[o]), int(at[o])
                     runs.setdefault((c >> 20) % blocks, []).append((c.to_bytes(8, "big") + body[a : a + length], b"", int(block.ids[row[o]]), int(block.keys[row[o]]), int(start[o]), 0, 0))
@@ -497,13 +498,13 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: i
     if text != "text" and "text" in [f.name for f in keep]:
         raise ValueError("a column named text must be the text")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    blocks = LEAST_BLOCKS + int(total) // (4 * BLOCK_BYTES)
+    blocks = LEAST_BLOCKS + int(total) // (GRAM_SHARE * BLOCK_BYTES)
     doc_blocks = LEAST_BLOCKS + int(total) // BLOCK_BYTES
     narrow = small_batches(rows).select("__id", "__text_key", "text")
-    found = written(narrow.mapInArrow(anchor_rows(length, blocks, doc_blocks), ROWS).groupBy("block").applyInArrow(anchor_groups(doc_blocks, crowd), ROWS), "anchors")
+    found = written(narrow.mapInArrow(anchor_rows(length, blocks), ROWS).groupBy("block").applyInArrow(anchor_groups(doc_blocks, crowd), ROWS), "anchors")
     asked = found.where(F.col("kind").isin(SORT, SORT_ALONE))
     packed = narrow.mapInArrow(pack_documents(doc_blocks), ROWS)
-    runs = packed.unionByName(asked).groupBy("block").applyInArrow(suffix_runs(length, blocks, doc_blocks), ROWS)
+    runs = packed.unionByName(asked).groupBy("block").applyInArrow(suffix_runs(length, blocks), ROWS)
     merged = written(runs.groupBy("block").applyInArrow(merged_runs(length, doc_blocks), ROWS), "repeats")
     schema = T.StructType([*keep, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256" if digest else "text", T.StringType())])
     whole = rows.mapInArrow(pack_documents(doc_blocks), ROWS)

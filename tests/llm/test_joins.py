@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import collision, components, jaccardjoin, suffixdedup
@@ -134,6 +135,13 @@ def test_repeats_are_removed(spark, repeats, crowd):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == removals(repeats)
 
 
+def test_rows_of_repeats_follow_the_blocks_they_go_to(repeats):
+    docs = [(d or 0, k, t) for k, (d, t) in enumerate(repeats) if t]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*docs), (pa.int64(), pa.int32(), pa.string()))], names=["__id", "__text_key", "text"])
+    rows = [r for out in suffixdedup.anchor_rows(100, blocks=4)([batch]) for r in out.to_pylist() if r["kind"] == suffixdedup.REPEATS]
+    assert 0 < len(rows) <= 4 and len({r["block"] for r in rows}) == len(rows)
+
+
 def test_repeats_of_nothing(spark):
     assert suffixdedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
