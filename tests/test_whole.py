@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone import registry
-from lodestone.operators import grounding
+from lodestone.operators import grounding, similar
 
 
 def test_fuzzy_evidence_equals_brute_force(spark, tmp_path):
@@ -35,3 +37,34 @@ def test_citations_after_a_long_text_are_remapped(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {x.turn: x for x in registry.queries()["citation_remap"](spark, str(tmp_path)).collect()}
     assert got[0].answer.startswith("word " * 40 + "as shown in [1]") and "[7]" not in got[0].answer and "4" in got[0].cited.split(",") and "4" not in got[1].cited.split(",")
+
+
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+    """Groups of near copies of all sizes, over more blocks than one, and what reaches the comparison."""
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    monkeypatch.setattr(similar, "FREQUENT", 50)
+    r = random.Random(5)
+    docs = [(None, "w1 w2"), (900, ""), (901, None), (902, "W1 w2"), (903, "w1")]
+    for group in range(6):
+        words = [f"w{r.randrange(60)}" if r.random() < 0.3 else f"g{group}x{k}" for k in range((8, 25, 60, 150, 400, 900)[group])]
+        for k in range(40):
+            some = list(words)
+            for _ in range(r.randrange(0, max(2, len(some) // 9))):
+                some[r.randrange(len(some))] = f"n{r.randrange(3000)}"
+            docs.append((group * 100 + k, " ".join(some)))
+    sets = {d: frozenset((t or "").lower().split()) for d, t in docs if d is not None}
+    names = {s: min(d for d, x in sets.items() if x == s) for s in set(sets.values())}
+    near = {s: sum(s != t and 10 * len(s & t) >= 9 * len(s | t) for t in names if s and t) for s in names}
+    got = {x.key: (x.same_as, x.n_links) for x in similar.near_duplicates(spark.createDataFrame(docs, "k long, t string"), "k", "t").collect()}
+    assert {d: got[d] for d in sets} == {d: (names[s], near[s]) for d, s in sets.items()} and got[None] == got[902] and sum(near.values()) > 300
+
+
+def test_unrelated_sets_of_one_passage_are_not_compared(spark, monkeypatch):
+    """Texts that share a rare passage share all first words; whole sets must not go out for them."""
+    passage = " ".join(f"rare{k}" for k in range(30))
+    r = random.Random(6)
+    docs = [(k, passage + " " + " ".join(f"c{j}" for j in r.sample(range(600), 200))) for k in range(60)]
+    compared = []
+    monkeypatch.setattr(similar, "_compared", lambda percent: compared.append(percent) or (lambda pairs, sets: pairs.select(["a", "b"])))
+    out = similar.near_duplicates(spark.createDataFrame(docs, "k long, t string"), "k", "t")
+    assert compared == [90] and out.agg(F.sum("n_links")).first()[0] == 0
