@@ -1,9 +1,14 @@
-"""BM25 as tables: postings that are written once, statistics derived from them, and scores as one join."""
+"""BM25 as tables: postings that are written once, statistics derived from them, and scores of blocks of documents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +17,9 @@ from lodestone.config import EngineConfig
 from lodestone.functions import text as tx
 from lodestone.sources import scratch
 
+#: Postings of a block of documents, and weights of a block of queries.
+POSTINGS, WEIGHTS = 1 << 19, 1 << 16
+
 
 @dataclass(frozen=True)
 class SparseIndex:
@@ -61,16 +69,77 @@ def ranked(df: DataFrame, by: str, score: Column, key: Column, k: int, name: str
     return df.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Numbers of 6 decimals, as Spark's round gives them: half up, by the shortest digits."""
+    y = x * 1e6
+    out = np.floor(y + 0.5) / 1e6
+    for k in np.flatnonzero(np.abs(y - np.floor(y) - 0.5) < 1e-3):
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The different values of a column in order, nulls first, and each row's place among them."""
+    d = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+    order = pc.sort_indices(d.dictionary, null_placement="at_start")
+    place = np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    return d.dictionary.take(order), place[d.indices.to_numpy()]
+
+
+def _scored(avgdl: float, limit: int, cfg: EngineConfig) -> Callable:
+    """Postings (key, dl, tf, tid) of whole documents and weights (query_id, wid, w) as the best documents of each query."""
+
+    def run(posts: pa.Table, weights: pa.Table) -> pa.Table:
+        tf, dl, tid = (posts.column(c).to_numpy() for c in ("tf", "dl", "tid"))
+        keys, doc = _coded(posts.column("key"))
+        part = tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * dl / avgdl))
+        by = np.argsort(tid, kind="stable")
+        tid, doc, part = tid[by], doc[by], part[by]
+        names, query = _coded(weights.column("query_id"))
+        by = np.lexsort((weights.column("wid").to_numpy(), query))
+        query, term, w = query[by], weights.column("wid").to_numpy()[by], weights.column("w").to_numpy()[by]
+        low, high = np.searchsorted(tid, term), np.searchsorted(tid, term, "right")
+        cuts = np.searchsorted(query, np.arange(len(names) + 1))
+        out: tuple[list, list, list] = [], [], []
+        for q in range(len(names)):
+            met = [k for k in range(cuts[q], cuts[q + 1]) if low[k] < high[k]]
+            if not met:
+                continue
+            score = np.bincount(np.concatenate([doc[low[k] : high[k]] for k in met]), np.concatenate([w[k] * part[low[k] : high[k]] for k in met]), len(keys))
+            at = np.flatnonzero(score > 0)
+            if len(at) > limit:  # those that a rounding may lift to the last place stay
+                at = at[score[at] >= np.partition(score[at], len(at) - limit)[len(at) - limit] - 2e-6]
+            score = rounded(score[at])
+            at, score = at[score > 0], score[score > 0]
+            best = np.lexsort((at, -score))[:limit]
+            for c, v in zip(out, (np.full(len(best), q), at[best], score[best])):
+                c.append(v)
+        join = lambda c, t: np.concatenate(c).astype(t) if c else np.empty(0, t)
+        return pa.table({"query_id": names.take(pa.array(join(out[0], np.int64))), "key": keys.take(pa.array(join(out[1], np.int64))), "score": join(out[2], np.float64)})
+
+    return run
+
+
 def search(index: SparseIndex, queries: DataFrame, query_id: str, text: str, limit: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """(query_id, key, score, rank): the best `limit` documents of each query, of those with a score over 0.
 
-    A word that a query holds twice counts twice. Only terms of queries are scored; nothing else of the
-    postings leaves the join. Which side is broadcast, if any, is left to the sizes met at run time.
+    A word that a query holds twice counts twice. Only postings of the queries' terms leave the join. They are
+    dealt by document into blocks that meet the blocks of the queries' weights, and each block passes on the
+    best `limit` documents of its queries only; so what is shuffled grows with the postings, not with documents times
+    queries, though the work does. The number of blocks follows the rows.
     """
     asked = tx.composed(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text")), "text")
     asked = asked.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = index.terms.join(asked, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"))
-    tf = F.col("tf")
-    part = F.col("w") * tf * (cfg.bm25_k1 + 1) / (tf + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("dl") / F.lit(index.avgdl)))
-    scores = index.postings.join(weights, "term").groupBy("query_id", "key").agg(F.sum(part).alias("score")).withColumn("score", F.round("score", 6))
-    return ranked(scores.where(F.col("score") > 0), "query_id", F.col("score"), F.col("key"), limit)
+    asked = scratch.written(asked, "asked")
+    terms = scratch.written(index.terms.join(scratch.small(asked.select("term").distinct()), "term").withColumn("tid", F.monotonically_increasing_id()), "asked-terms")
+    weights = asked.join(terms, "term").select("query_id", "tid", (F.col("qtf") * F.col("idf")).alias("w"))
+    pb, qb = max(1, -(-(terms.agg(F.sum("df")).first()[0] or 0) // POSTINGS)), max(1, -(-asked.count() // WEIGHTS))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    posts = index.postings.join(scratch.small(terms.select("term", "tid")), "term").select("key", "dl", F.col("tf").cast("int").alias("tf"), "tid", block("key", pb).alias("pb"), each(qb).alias("qb"))
+    weights = weights.select("query_id", F.col("tid").alias("wid"), "w", block("query_id", qb).alias("wb"), each(pb).alias("wp"))
+    shape = f"query_id {asked.schema['query_id'].dataType.simpleString()}, key {index.postings.schema['key'].dataType.simpleString()}, score double"
+    found = posts.groupBy("pb", "qb").cogroup(weights.groupBy("wp", "wb")).applyInArrow(_scored(index.avgdl, limit, cfg), shape)
+    return ranked(found, "query_id", F.col("score"), F.col("key"), limit)

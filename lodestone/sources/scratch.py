@@ -9,9 +9,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a table for each core up to which its rows may all stand in one split.
 SPLIT = 4 << 20
+#: Rows of a table that a join may broadcast.
+BROADCAST_ROWS = 50_000
 #: Folders of local sessions that name none, by application.
 _OWN: dict[str, str] = {}
 
@@ -43,6 +46,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SPLIT else df
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast in a join, if it was counted to have BROADCAST_ROWS at most."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the application's tables; nothing may read them any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder(spark))

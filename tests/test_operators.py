@@ -193,3 +193,40 @@ def test_chunks_do_not_depend_on_partitions(spark, sf):
     p = files.documents_as_pages(spark.read.parquet(f"{sf}/documents.parquet"))
     a, b = ({(r.chunk_id, r.text) for r in chunker.chunk_table(p.repartition(n)).collect()} for n in (1, 7))
     assert a == b
+
+
+def test_search_in_blocks_passes_on_the_best_only(spark, monkeypatch):
+    """Many blocks of documents and queries: ties over blocks, repeated and null keys, and no row for each document of each query."""
+    import random
+
+    monkeypatch.setattr(sparse, "POSTINGS", 300)
+    monkeypatch.setattr(sparse, "WEIGHTS", 20)
+    r = random.Random(8)
+    docs = [(f"k{n:03d}", " ".join(f"w{min(r.randrange(40), r.randrange(40))}" for _ in range(r.randrange(0, 30)))) for n in range(300)]
+    docs += [(f"c{n:03d}", "w1 w2 w39 w39") for n in range(50)] + [(None, "w1 w39"), (None, "w2 w39"), ("k001", "w39 w39"), ("k001", None)]
+    asks = [(n, " ".join(f"w{r.randrange(40)}" for _ in range(5))) for n in range(12)] + [(90, "w1 w2 w39"), (91, "zzz"), (None, "w39"), (92, None)]
+    index = sparse.build(spark.createDataFrame(docs, "k string, t string"), "k", "t")
+    idf = {x.term: x.idf for x in index.terms.collect()}
+    score = {}
+    for k, t in docs:
+        words = Counter((t or "").split())
+        dl = sum(words.values())
+        for q, a in asks:
+            for w, c in Counter((a or "").split()).items():
+                if w in words:
+                    score[q, k] = score.get((q, k), 0) + c * idf[w] * words[w] * 2.5 / (words[w] + 1.5 * (0.25 + 0.75 * dl / index.avgdl))
+    want = {}
+    for q, _ in asks:
+        best = sorted((-round(v, 6), k is not None, k or "") for (p, k), v in score.items() if p == q and round(v, 6) > 0)[:9]
+        want |= {(q, n): (k if some else None, pytest.approx(-v, abs=2e-6)) for n, (v, some, k) in enumerate(best, 1)}
+    out = sparse.search(index, spark.createDataFrame(asks, "q int, t string"), "q", "t", 9)
+    assert {(x.query_id, x.rank): (x.key, x.score) for x in out.collect()} == want and sum((want[90, n][0] or "").startswith("c") for n in range(1, 10)) > 5
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_scores_are_rounded_as_spark_rounds(spark):
+    import numpy as np
+
+    x = np.array([0.1234565, 1.0000005, 2.5000015, 0.0000005, 0.00000049, 17.1234565, 3.0])
+    assert sparse.rounded(x).tolist() == [v[0] for v in spark.createDataFrame([(float(v),) for v in x], "v double").select(F.round("v", 6)).collect()]
