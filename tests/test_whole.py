@@ -68,3 +68,15 @@ def test_unrelated_sets_of_one_passage_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(similar, "_compared", lambda percent: compared.append(percent) or (lambda pairs, sets: pairs.select(["a", "b"])))
     out = similar.near_duplicates(spark.createDataFrame(docs, "k long, t string"), "k", "t")
     assert compared == [90] and out.agg(F.sum("n_links")).first()[0] == 0
+
+
+def test_texts_are_cut_in_pieces_of_bounded_size():
+    """Python holds the words of one piece at a time, whatever the rows of a batch."""
+    import pyarrow as pa
+
+    texts = ["word " * (k % 7 * 20_000) for k in range(60)] + [None, "", "x" * (3 * grounding.PIECE), "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)] * 2, ["0", "1"])
+    pieces = [p.column(0).to_pylist() for p in grounding._pieces(batch)]
+    assert [t for p in pieces for t in p] == texts and len(pieces) > 15
+    assert all(len(p) == 1 or 2 * sum(len(t or "") for t in p) <= grounding.PIECE for p in pieces)
+    assert list(grounding._pieces(batch.slice(0, 0))) == []
