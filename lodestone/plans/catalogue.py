@@ -235,7 +235,8 @@ def near_duplicate_docs(spark, d):
 @query()
 def distinct_answers(spark, d):
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
-    return router.distinct_answers(_sparse(spark, d).where("rank <= 12").join(texts, "key"), "key", "text", CFG)
+    hits = scratch.written(_sparse(spark, d).where("rank <= 12"), "hits")  # twelve for each query, so that texts need no shuffle
+    return router.distinct_answers(texts.join(scratch.small(hits), "key"), "key", "text", CFG)
 
 
 @query(f"select doc_id, source, lang from (select *, row_number() over (partition by array_to_string({sql_tokens('text')}, ' ') order by length(text) desc, doc_id) as n from documents) where n = 1")

@@ -80,3 +80,9 @@ def test_texts_are_cut_in_pieces_of_bounded_size():
     assert [t for p in pieces for t in p] == texts and len(pieces) > 15
     assert all(len(p) == 1 or 2 * sum(len(t or "") for t in p) <= grounding.PIECE for p in pieces)
     assert list(grounding._pieces(batch.slice(0, 0))) == []
+
+
+def test_distinct_answers_deal_no_texts(spark, sf):
+    """The few hits go to the texts, not the texts to the hits."""
+    plan = registry.queries()["distinct_answers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
